@@ -36,13 +36,23 @@ def unpack(b: bytes, dtype=None):
     return raw if dtype is None else np.frombuffer(raw, dtype=dtype)
 
 
+def pack_ints(a: np.ndarray) -> bytes:
+    """64-bit values as differences, in byte planes: small differences leave planes of zeros."""
+    step = np.diff(a, prepend=a.dtype.type(0)) if len(a) else a
+    return pack(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T))
+
+
+def unpack_ints(b: bytes, dtype=np.int64) -> np.ndarray:
+    step = np.ascontiguousarray(unpack(b, np.uint8).reshape(8, -1).T).view(dtype).ravel()
+    return np.cumsum(step, dtype=dtype)
+
+
 def pack_sorted(a: np.ndarray) -> bytes:
-    """Ascending uint64 values as differences."""
-    return pack(np.diff(a, prepend=np.uint64(0)))
+    return pack_ints(a.astype(np.uint64))
 
 
 def unpack_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
+    return unpack_ints(b, np.uint64)
 
 
 def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

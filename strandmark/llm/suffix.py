@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from .common import Rolling, find, materialize, mix, runs
 from .lm import load
 from .quality import spark_schema
-from .segments import as_table, bucket_count, by_bucket, map_rows, pack, pack_sorted, segments, unpack, unpack_sorted
+from .segments import BUCKET_BYTES, as_table, bucket_count, by_bucket, map_rows, pack, pack_ints, pack_sorted, segments, unpack, unpack_ints, unpack_sorted
 
 LENGTH, K = 50, 20
 #: a perfect difference cover: every residue modulo PERIOD is the difference of two of its members
@@ -210,12 +210,18 @@ def picks(texts: list[bytes], lens: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return first, n, hashes[pick[first]], doc[first], blob
 
 
+def short(h: np.ndarray, buckets: int) -> np.ndarray:
+    """As many leading bits as keep chance matches rare for the size of the input: such a match costs work, not correctness."""
+    return h >> np.uint64(64 - min(64, 16 + (buckets * BUCKET_BYTES).bit_length()))
+
+
 def _hashes(buckets: int):
     def fn(row: dict) -> list[list]:
         texts, lens = load(row)
         _, _, h, doc, _ = picks(texts, lens)
         if not len(h):
             return []
+        h = short(h, buckets)
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
         new = np.concatenate(([True], h[1:] != h[:-1]))
@@ -250,13 +256,13 @@ def _runs(buckets: int):
             texts, lens = load(row)
             first, n, h, doc, blob = picks(texts, lens)
             common = np.sort(np.concatenate([unpack_sorted(x.as_py()) for x in right["keys"]]))
-            some = np.flatnonzero(find(common, h) >= 0)
+            some = np.flatnonzero(find(common, short(h, buckets)) >= 0)
             first, n, h, doc = first[some], n[some], h[some], doc[some]
             ids = np.array([NO_ID if i is None else i for i in row["doc_ids"]], dtype=np.int64)[doc]
             buf = np.frombuffer(blob, dtype=np.uint8)
             for b, at in by_bucket(h, mix(h), buckets):
                 text = buf[spread(first[at], n[at] + LENGTH - 1)]
-                out.append([b, row["seg"], pack(first[at].astype(np.uint32)), pack(n[at].astype(np.uint8)), pack(ids[at]), pack(text)])
+                out.append([b, row["seg"], pack_ints(first[at]), pack(n[at].astype(np.uint8)), pack_ints(ids[at]), pack(text)])
         return as_table(out, RUNS)
 
     return fn
@@ -269,21 +275,33 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _remove(table: pa.Table) -> pa.Table:
     """One bucket: spans that its windows remove, for each segment."""
-    col = lambda name, dtype: [unpack(x.as_py(), dtype) for x in table[name]]
-    at, n, ids = col("at", np.uint32), col("n", np.uint8), col("ids", np.int64)
+    at = [unpack_ints(x.as_py()) for x in table["at"]]
     owner = np.repeat(np.arange(len(at)), [len(a) for a in at])
-    at, n, ids = np.concatenate(at).astype(np.int64), np.concatenate(n).astype(np.int64), np.concatenate(ids)
-    text = np.frombuffer(b"".join(unpack(x.as_py()) for x in table["text"]), dtype=np.uint8)
+    at = np.concatenate(at)
+    n = np.concatenate([unpack(x.as_py(), np.uint8) for x in table["n"]]).astype(np.int64)
+    ids = np.concatenate([unpack_ints(x.as_py()) for x in table["ids"]])
     size = n + LENGTH - 1
-    begin = np.cumsum(size) - size
-    # equal runs, by the 64-bit hash of all their bytes, are one
-    rolling = Rolling(text)
-    one = rolling.spans(begin, begin + size)
+    # equal runs, by the 64-bit hash of all their bytes, are one; only one of them is kept in memory
+    held = np.searchsorted(owner, np.arange(len(table) + 1))
+    texts = [x.as_py() for x in table["text"]]
+    one = np.empty(len(at), dtype=np.uint64)
+    for k, packed in enumerate(texts):
+        mine = slice(held[k], held[k + 1])
+        end = np.cumsum(size[mine])
+        one[mine] = Rolling(np.frombuffer(unpack(packed), dtype=np.uint8)).spans(end - size[mine], end)
     _, where, which = np.unique(one, return_index=True, return_inverse=True)
+    order = np.argsort(where)  # runs in the order in which they come
+    where, which = where[order], np.argsort(order)[which]
     least = np.full(len(where), NO_ID, dtype=np.int64)
     np.minimum.at(least, which, ids)
     unique_size = size[where]
-    body = text[spread(begin[where], unique_size)].tobytes()
+    pieces = []
+    for k, packed in enumerate(texts):
+        mine = where[(where >= held[k]) & (where < held[k + 1])]
+        begin = np.cumsum(size[held[k] : held[k + 1]]) - size[held[k] : held[k + 1]]
+        pieces.append(np.frombuffer(unpack(packed), dtype=np.uint8)[spread(begin[mine - held[k]], size[mine])])
+    body = np.concatenate(pieces).tobytes()
+    del texts, pieces
     base = np.cumsum(unique_size) - unique_size
     windows = spread(base, n[where])
     run = np.repeat(np.arange(len(where)), n[where])
@@ -306,7 +324,7 @@ def _remove(table: pa.Table) -> pa.Table:
     for k, s in enumerate(table["seg"].to_pylist()):
         mine = seg == k
         if mine.any():
-            out.append([s, pack(start[mine].astype(np.uint32)), pack(end[mine].astype(np.uint32))])
+            out.append([s, pack_ints(start[mine]), pack_ints(end[mine])])
     return as_table(out, SPANS)
 
 
@@ -326,8 +344,8 @@ def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
         texts, lens = load(row)
         edge = np.zeros(int(lens.sum()) + 1, dtype=np.int64)
         for s, e in zip(right["start"], right["end"], strict=True):
-            np.add.at(edge, unpack(s.as_py(), np.uint32).astype(np.int64), 1)
-            np.add.at(edge, unpack(e.as_py(), np.uint32).astype(np.int64), -1)
+            np.add.at(edge, unpack_ints(s.as_py()), 1)
+            np.add.at(edge, unpack_ints(e.as_py()), -1)
         gone = np.cumsum(edge[:-1]) > 0
         at = 0
         for doc_id, text, n in zip(row["doc_ids"], texts, lens.tolist(), strict=True):
