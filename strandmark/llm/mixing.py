@@ -17,6 +17,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: without given weights, a source's weight is its size to this power
 TEMPERATURE = 0.5
 SEED = 17
@@ -24,6 +26,8 @@ SEED = 17
 MEAN = 16.0
 #: the distribution is tabulated up to this count; beyond it lies less than 2^-52 of a mean of 16
 COUNTS = 80
+#: source tables up to this many rows (of about 700 bytes) are broadcast; larger ones are joined by an exchange of the documents
+BROADCAST_SOURCES = 10_000
 
 
 def unit(*parts) -> Column:
@@ -61,7 +65,9 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, te
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs' columns with mix_copy (1..n) and mix_order (the key of the shuffle); rows come in shuffled order."""
     rates = source_rates(docs, weights, temperature, source_col, text_col).select(F.col("source").alias("__source"), "cdf", "draws")
-    rates = rates.select(F.struct("*").alias("__rate"))
+    rates = materialize(rates.select(F.struct("*").alias("__rate")), "rates")
+    if rates.count() <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)
     doc_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     copies = F.aggregate(
         F.sequence(F.lit(1), F.col("__rate.draws")),

@@ -38,6 +38,8 @@ MIN_REVISIT = 1000
 BLOCK = 1000
 #: a task starts another archive file beyond this size
 ARCHIVE_BYTES = 1 << 30
+#: captures that a task reads back
+CAPTURES_A_TASK = 50_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -256,7 +258,10 @@ def lookup(keys: DataFrame, index: DataFrame) -> DataFrame:
     small_batches(spark)
     sorted_keys = keys.select("key").repartitionByRange("key").sortWithinPartitions("key")
     places = sorted_keys.mapInArrow(locate, spark_schema(PLACES))
-    dealt = places.repartition("file", "offset").sortWithinPartitions("file", "offset", "key")
+    # each row is a block to read, much work for few bytes: a fixed number of partitions, which AQE leaves alone
+    captures = index.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-captures // CAPTURES_A_TASK))
+    dealt = places.repartition(parts, "file", "offset").sortWithinPartitions("file", "offset", "key")
     return dealt.mapInArrow(read, spark_schema(RECORDS))
 
 
