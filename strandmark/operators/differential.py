@@ -51,6 +51,7 @@ def _pooled(rows: DataFrame, loci: list[str], mod: str, calc_type: str, adjust:
     sides = {"case": True, "control": False}
     dat = rows.groupBy(*loci).agg(*[_side(F.col("num_calls"), v).alias(f"num_calls_{s}") for s, v in sides.items()], *[_side(F.col("mod"), v).alias(f"{mod}_counts_{s}") for s, v in sides.items()])
     dat = dat.withColumns({f"{other}_{s}": F.col(f"num_calls_{s}") - F.col(f"{mod}_counts_{s}") for s in sides})
+    dat = dat.persist()  # loci: read by the tables of counts and by the result
     cells = [f"{mod}_counts_case", f"{mod}_counts_control", f"{other}_case", f"{other}_control"]
     mc, mk, uc, uk = (F.col(c) for c in cells)
     test = {

@@ -66,7 +66,8 @@ def _windows(spark, sf_dir):
 
 
 def _diff(spark, sf_dir, calc_type="fast_fisher", **args):
-    return differential.calc_diff(_windows(spark, sf_dir), CASES, CONTROLS, calc_type=calc_type, **args)
+    # a stored table in a workflow; here the validation of names and the test would both build it
+    return differential.calc_diff(_windows(spark, sf_dir).persist(), CASES, CONTROLS, calc_type=calc_type, **args)
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -122,7 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coverage_hist": lambda s, d: qc.histogram(summarize.positions(good(s, d)), F.log10("num_calls"), 0.25),
     "modfrac_hist": lambda s, d: (lambda p: qc.histogram(p, qc.fraction_column(p), 10))(summarize.positions(good(s, d))),
     "diff_fast_fisher": lambda s, d: _rounded(_diff(s, d)),
-    "diff_positions": lambda s, d: _rounded(differential.calc_diff(summarize.positions(good(s, d)), CASES, CONTROLS, calc_type="fast_fisher")),
+    "diff_positions": lambda s, d: _rounded(differential.calc_diff(summarize.positions(good(s, d)).persist(), CASES, CONTROLS, calc_type="fast_fisher")),
     "diff_r_fisher": lambda s, d: _rounded(_diff(s, d, "r_fisher")),
     "diff_wilcoxon": lambda s, d: _rounded(_diff(s, d, "wilcox")),
     "diff_log_reg": lambda s, d: _rounded(_diff(s, d, "log_reg")),

@@ -113,7 +113,9 @@ def brute_bh(p):
     return [None if v is None or math.isnan(v) else min(1.0, min(q[w] for w in ok if w >= v)) for v in p]
 
 
-def test_bh(spark):
+@pytest.mark.parametrize("one_task", [1_000_000, 0])
+def test_bh(spark, monkeypatch, one_task):
+    monkeypatch.setattr(stats, "ONE_TASK", one_task)
     rng = np.random.default_rng(1)
     for p in ([0.01, 0.02, 0.02, None, 0.5], [0.0, 0.0, 1e-300, 1.0, float("nan")], [None], rng.beta(0.3, 3, 400).tolist() + [1.0] * 20):
         got = [r.p_adjust for r in stats.bh_adjust(spark.createDataFrame([(i, v) for i, v in enumerate(p)], "i int, p_val double")).orderBy("i").collect()]
