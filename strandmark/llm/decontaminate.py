@@ -194,7 +194,7 @@ def search(index: DataFrame, queries: DataFrame, slop: int | None = None) -> Dat
     Matches are exact phrases, or with slop also spans of at most that many more words that hold all of a window's words.
     """
     blocks = path_of(queries)
-    index.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    small_batches(index.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

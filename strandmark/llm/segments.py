@@ -89,7 +89,7 @@ def each_row(schema: pa.Schema, fn: Callable[[dict], list[list]]) -> Callable:
 
 
 def map_rows(table: DataFrame, schema: pa.Schema, fn: Callable[[dict], list[list]]) -> DataFrame:
-    table.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    small_batches(table.sparkSession)
     return table.mapInArrow(each_row(schema, fn), spark_schema(schema))
 
 

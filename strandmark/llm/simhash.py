@@ -216,7 +216,6 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         pair = F.transform(others, lambda j: (F.least(j, F.col("mine")) * F.col("chunks") + F.greatest(j, F.col("mine"))).cast("long") + 1)
         rows = dealt.withColumn("tile", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pair))).drop("mine", "chunks")
     rows = rows.repartition("which", "key", "tile").sortWithinPartitions("which", "key", "tile", "fp")
-    distinct.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     return rows.select("which", "key", "tile", "fp").mapInArrow(_shard_links(radius), spark_schema(LINKS)).distinct()
 
 

@@ -4,15 +4,17 @@ A byte goes if a 50-byte string that covers it also starts in a document with a
 1. Winnowing: each 50-byte window picks the K-gram with the least hash in it. Equal windows
    pick the same K-gram at the same offset, so a window whose K-gram occurs in one document
    only has no copy. Segments send distinct K-gram hashes to buckets and learn which are shared.
-2. Runs of windows with one shared K-gram go, with their bytes, to the bucket of that hash.
-   All copies of a window meet there. Equal runs are united under their smallest id first.
-3. A bucket's runs are one text, whose suffix array is built block by block: suffixes at the
-   residues of a difference cover are ranked first; then one block of suffixes that share
-   leading bytes at a time is sorted by PREFIX bytes, and longer ties are resolved by the
-   ranks of cover positions at the offset that both suffixes share. Only one block's keys
-   are in memory besides the ranks.
-4. Neighbours in the suffix array with 50 equal bytes are one group; windows of documents
-   over the group's smallest id are removed, and segments unite the spans they get back.
+2. Runs of windows with one shared K-gram go, with their bytes, to the bucket of that hash;
+   all copies of a window meet there. A segment sends equal runs once, under their smallest
+   id. K-grams of very many documents (hot ones) would fill a bucket: the windows that pick
+   them are keyed one by one, by their own 64-bit hash, and sent as (hash, smallest id).
+3. A bucket's distinct runs are one text, whose suffix array is built block by block: suffixes
+   at the residues of a difference cover are ranked first; then one block of suffixes that
+   share leading bytes at a time is sorted by PREFIX bytes, and longer ties are resolved by
+   the ranks of cover positions at the offset that both suffixes share. Only one block's keys
+   are in memory besides the ranks. Neighbours in it with 50 equal bytes are one group.
+4. Each segment gets back the smallest id of each distinct window that it sent, and removes
+   the windows of documents over it. No task holds more than an entry a segment for any string.
 
 Defined cases: a null text is empty; texts under 50 bytes keep everything; rows with equal
 ids do not remove each other; a null id counts as larger than any other and removes nothing.
@@ -39,13 +41,16 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 PREFIX = 16
 #: suffixes in a block, unless more share their first two bytes
 BLOCK = 500_000
+#: a K-gram of more documents is hot
+HOT_DOCUMENTS = 10_000
 #: stands for a null id
 NO_ID = np.iinfo(np.int64).max
 
-HASHES = pa.schema([("bucket", pa.int64()), ("seg", pa.int64()), ("keys", pa.binary()), ("many", pa.binary())])
-SHARED = pa.schema([("seg", pa.int64()), ("keys", pa.binary())])
-RUNS = pa.schema([("bucket", pa.int64()), ("seg", pa.int64()), ("at", pa.binary()), ("n", pa.binary()), ("ids", pa.binary()), ("text", pa.binary())])
-SPANS = pa.schema([("seg", pa.int64()), ("start", pa.binary()), ("end", pa.binary())])
+HASHES = pa.schema([("bucket", pa.int64()), ("seg", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())])
+#: kind: SHARED (values: 1 for hot K-grams), RUNS (values: smallest id of each window of each distinct run), HOT (of each hot window)
+ANSWERS = pa.schema([("seg", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
+SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("seg", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("n", pa.binary()), ("text", pa.binary())])
+SHARED, RUNS, HOT = 0, 1, 2
 DEDUPED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
 
 
@@ -224,46 +229,86 @@ def _hashes(buckets: int):
         h = short(h, buckets)
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
-        new = np.concatenate(([True], h[1:] != h[:-1]))
-        group = np.cumsum(new) - 1
-        many = np.zeros(group[-1] + 1, dtype=bool)
-        many[group[1:][~new[1:] & (doc[1:] != doc[:-1])]] = True
-        keys = h[new]
-        return [[b, row["seg"], pack_sorted(keys[at]), np.packbits(many[at]).tobytes()] for b, at in by_bucket(keys, mix(keys), buckets)]
+        first = np.concatenate(([True], h[1:] != h[:-1]))
+        docs = np.bincount(np.cumsum(first) - 1, weights=np.concatenate(([True], first[1:] | (doc[1:] != doc[:-1])))).astype(np.int64)
+        keys = h[first]
+        return [[b, row["seg"], pack_sorted(keys[at]), pack(np.minimum(docs[at], 0xFFFF).astype(np.uint16))] for b, at in by_bucket(keys, mix(keys), buckets)]
 
     return fn
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of a bucket's hashes, those of two documents or more, told to each segment that has them."""
-    mine = [unpack_sorted(x.as_py()) for x in table["keys"]]
-    many = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(k)).astype(bool) for x, k in zip(table["many"], mine, strict=True)]
-    s = np.sort(np.concatenate([*mine, *[k[f] for k, f in zip(mine, many, strict=True)]]))
-    twice = np.unique(s[1:][s[1:] == s[:-1]])
-    out = []
-    for seg, keys in zip(table["seg"].to_pylist(), mine, strict=True):
-        common = keys[find(twice, keys) >= 0]
-        if len(common):
-            out.append([seg, pack_sorted(common)])
-    return as_table(out, SHARED)
+def _shared(hot: int):
+    """Of a bucket's hashes, those of two documents or more, and which are hot, told to each segment that has them."""
 
+    def fn(table: pa.Table) -> pa.Table:
+        mine = [unpack_sorted(x.as_py()) for x in table["keys"]]
+        every = np.concatenate(mine)
+        docs = np.concatenate([unpack(x.as_py(), np.uint16) for x in table["docs"]])
+        keys, which = np.unique(every, return_inverse=True)
+        total = np.bincount(which, weights=docs)
+        cut = np.cumsum([len(k) for k in mine])[:-1]
+        out = []
+        for seg, k, n in zip(table["seg"].to_pylist(), mine, np.split(total[which], cut), strict=True):
+            common = n > 1
+            if common.any():
+                out.append([seg, SHARED, 0, pack_sorted(k[common]), pack((n[common] > hot).astype(np.uint8))])
+        return as_table(out, ANSWERS)
 
-def _runs(buckets: int):
+    return fn
+
+
+class Candidates:
+    """A segment's runs with shared K-grams: distinct ones by bucket, and the hot windows. Building it twice gives the same order."""
+
+    def __init__(self, row: dict, shared: pa.Table, buckets: int):
+        texts, self.lens = load(row)
+        first, n, h, doc, blob = picks(texts, self.lens)
+        keys = np.concatenate([np.empty(0, np.uint64), *[unpack_sorted(x.as_py()) for x in shared["keys"]]])
+        flags = np.concatenate([np.empty(0, np.uint8), *[unpack(x.as_py(), np.uint8) for x in shared["values"]]])
+        order = np.argsort(keys)
+        keys, flags = keys[order], flags[order]
+        at = find(keys, short(h, buckets))
+        ids = np.array([NO_ID if i is None else i for i in row["doc_ids"]], dtype=np.int64)
+        self.buf = np.frombuffer(blob, dtype=np.uint8)
+        rolling = Rolling(self.buf)
+        cool = np.flatnonzero((at >= 0) & (flags[at] == 0) if len(flags) else at >= 0)
+        self.first, self.n, self.ids = first[cool], n[cool], ids[doc[cool]]
+        # equal runs by the 64-bit hash of their bytes: the K-gram's hash decides the bucket
+        content = rolling.spans(self.first, self.first + self.n + LENGTH - 1)
+        _, self.where, self.which = np.unique(content, return_index=True, return_inverse=True)
+        self.least = smallest(self.ids, self.which, len(self.where))
+        self.hashes = mix(h[cool][self.where])
+        warm = np.flatnonzero((at >= 0) & (flags[at] == 1) if len(flags) else np.zeros(len(at), dtype=bool))
+        self.hot = spread(first[warm], n[warm])
+        self.hot_ids = np.repeat(ids[doc[warm]], n[warm])
+        self.hot_keys, self.hot_which = np.unique(rolling.spans(self.hot, self.hot + LENGTH), return_inverse=True)
+        self.hot_least = smallest(self.hot_ids, self.hot_which, len(self.hot_keys))
+
+    def runs_by_bucket(self, buckets: int):
+        return by_bucket(self.hashes, self.hashes, buckets)
+
+    def hot_by_bucket(self, buckets: int):
+        return by_bucket(self.hot_keys, mix(self.hot_keys), buckets)
+
+
+def smallest(ids: np.ndarray, which: np.ndarray, groups: int) -> np.ndarray:
+    least = np.full(groups, NO_ID, dtype=np.int64)
+    np.minimum.at(least, which, ids)
+    return least
+
+
+def _send(buckets: int):
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
-            row = {n: left[n][0].as_py() for n in left.column_names}
-            texts, lens = load(row)
-            first, n, h, doc, blob = picks(texts, lens)
-            common = np.sort(np.concatenate([unpack_sorted(x.as_py()) for x in right["keys"]]))
-            some = np.flatnonzero(find(common, short(h, buckets)) >= 0)
-            first, n, h, doc = first[some], n[some], h[some], doc[some]
-            ids = np.array([NO_ID if i is None else i for i in row["doc_ids"]], dtype=np.int64)[doc]
-            buf = np.frombuffer(blob, dtype=np.uint8)
-            for b, at in by_bucket(h, mix(h), buckets):
-                text = buf[spread(first[at], n[at] + LENGTH - 1)]
-                out.append([b, row["seg"], pack_ints(first[at]), pack(n[at].astype(np.uint8)), pack_ints(ids[at]), pack(text)])
-        return as_table(out, RUNS)
+            c = Candidates({n: left[n][0].as_py() for n in left.column_names}, right, buckets)
+            seg = left["seg"][0].as_py()
+            for b, at in c.runs_by_bucket(buckets):
+                own = c.where[at]
+                text = c.buf[spread(c.first[own], c.n[own] + LENGTH - 1)]
+                out.append([RUNS, b, seg, None, pack_ints(c.least[at]), pack(c.n[own].astype(np.uint8)), pack(text)])
+            out += [[HOT, b, seg, pack_sorted(c.hot_keys[at]), pack_ints(c.hot_least[at]), None, None] for b, at in c.hot_by_bucket(buckets)]
+        return as_table(out, SENT)
 
     return fn
 
@@ -273,28 +318,36 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-def _remove(table: pa.Table) -> pa.Table:
-    """One bucket: spans that its windows remove, for each segment."""
-    at = [unpack_ints(x.as_py()) for x in table["at"]]
-    owner = np.repeat(np.arange(len(at)), [len(a) for a in at])
-    at = np.concatenate(at)
-    n = np.concatenate([unpack(x.as_py(), np.uint8) for x in table["n"]]).astype(np.int64)
+def _group(table: pa.Table) -> pa.Table:
+    return _group_hot(table) if table["kind"][0].as_py() == HOT else _group_runs(table)
+
+
+def _group_hot(table: pa.Table) -> pa.Table:
+    mine = [unpack_sorted(x.as_py()) for x in table["keys"]]
+    keys, which = np.unique(np.concatenate(mine), return_inverse=True)
+    least = smallest(np.concatenate([unpack_ints(x.as_py()) for x in table["ids"]]), which, len(keys))
+    cut = np.cumsum([len(k) for k in mine])[:-1]
+    return as_table([[s, HOT, b, None, pack_ints(x)] for s, b, x in zip(table["seg"].to_pylist(), table["bucket"].to_pylist(), np.split(least[which], cut), strict=True)], ANSWERS)
+
+
+def _group_runs(table: pa.Table) -> pa.Table:
+    """One bucket: the smallest id of each window of each run."""
+    n = [unpack(x.as_py(), np.uint8).astype(np.int64) for x in table["n"]]
+    held = np.concatenate(([0], np.cumsum([len(x) for x in n])))
+    n = np.concatenate(n)
     ids = np.concatenate([unpack_ints(x.as_py()) for x in table["ids"]])
     size = n + LENGTH - 1
-    # equal runs, by the 64-bit hash of all their bytes, are one; only one of them is kept in memory
-    held = np.searchsorted(owner, np.arange(len(table) + 1))
+    # segments' equal runs are one, and only one of them is kept in memory
     texts = [x.as_py() for x in table["text"]]
-    one = np.empty(len(at), dtype=np.uint64)
+    content = np.empty(len(n), dtype=np.uint64)
     for k, packed in enumerate(texts):
         mine = slice(held[k], held[k + 1])
         end = np.cumsum(size[mine])
-        one[mine] = Rolling(np.frombuffer(unpack(packed), dtype=np.uint8)).spans(end - size[mine], end)
-    _, where, which = np.unique(one, return_index=True, return_inverse=True)
+        content[mine] = Rolling(np.frombuffer(unpack(packed), dtype=np.uint8)).spans(end - size[mine], end)
+    _, where, which = np.unique(content, return_index=True, return_inverse=True)
     order = np.argsort(where)  # runs in the order in which they come
     where, which = where[order], np.argsort(order)[which]
-    least = np.full(len(where), NO_ID, dtype=np.int64)
-    np.minimum.at(least, which, ids)
-    unique_size = size[where]
+    least = smallest(ids, which, len(where))
     pieces = []
     for k, packed in enumerate(texts):
         mine = where[(where >= held[k]) & (where < held[k + 1])]
@@ -302,62 +355,68 @@ def _remove(table: pa.Table) -> pa.Table:
         pieces.append(np.frombuffer(unpack(packed), dtype=np.uint8)[spread(begin[mine - held[k]], size[mine])])
     body = np.concatenate(pieces).tobytes()
     del texts, pieces
-    base = np.cumsum(unique_size) - unique_size
-    windows = spread(base, n[where])
+    windows = spread(np.cumsum(size[where]) - size[where], n[where])
     run = np.repeat(np.arange(len(where)), n[where])
     window_of = np.full(len(body), -1, dtype=np.int64)
     window_of[windows] = np.arange(len(windows))
     first_id = np.empty(len(windows), dtype=np.int64)
     for block, group in equal_groups(body, windows, LENGTH):
         w = window_of[block]
-        best = np.full(int(group[-1]) + 1, NO_ID, dtype=np.int64)
-        np.minimum.at(best, group, least[run[w]])
-        first_id[w] = best[group]
-    # every run again: which of its windows have a smaller id elsewhere
+        first_id[w] = smallest(least[run[w]], group, int(group[-1]) + 1)[group]
     offset = np.cumsum(n[where]) - n[where]
-    gone = first_id[spread(offset[which], n)] < np.repeat(ids, n)
-    start, end = runs_within(gone, n)
-    holder = np.searchsorted(np.cumsum(n), start, "right")
-    shift = at[holder] - (np.cumsum(n) - n)[holder]
-    start, end, seg = start + shift, end + shift + LENGTH - 1, owner[holder]
     out = []
-    for k, s in enumerate(table["seg"].to_pylist()):
-        mine = seg == k
-        if mine.any():
-            out.append([s, pack_ints(start[mine]), pack_ints(end[mine])])
-    return as_table(out, SPANS)
-
-
-def runs_within(mask: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the True runs, which end where a range of the given sizes ends."""
-    last = np.zeros(len(mask) + 1, dtype=bool)
-    last[np.cumsum(n)] = True
-    start = mask & (np.concatenate(([True], ~mask[:-1])) | last[:-1])
-    end = mask & (np.concatenate((~mask[1:], [True])) | last[1:])
-    return np.flatnonzero(start), np.flatnonzero(end) + 1
-
-
-def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
-    rows = []
-    for i in range(left.num_rows):
-        row = {n: left[n][i].as_py() for n in left.column_names}
-        texts, lens = load(row)
-        edge = np.zeros(int(lens.sum()) + 1, dtype=np.int64)
-        for s, e in zip(right["start"], right["end"], strict=True):
-            np.add.at(edge, unpack_ints(s.as_py()), 1)
-            np.add.at(edge, unpack_ints(e.as_py()), -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        at = 0
-        for doc_id, text, n in zip(row["doc_ids"], texts, lens.tolist(), strict=True):
-            start, end = runs(gone[at : at + n])
-            at += n
-            pieces, last = [], 0
-            for s, e in zip(start.tolist(), end.tolist(), strict=True):
-                pieces.append(text[last:s])
-                last = e
-            kept = b"".join([*pieces, text[last:]])
-            rows.append([doc_id, n, n - len(kept), len(start), hashlib.sha256(kept).hexdigest(), np.stack([start, end], axis=1).tolist(), kept])
-    return as_table(rows, DEDUPED)
+    for k, (s, b) in enumerate(zip(table["seg"].to_pylist(), table["bucket"].to_pylist(), strict=True)):
+        mine = slice(held[k], held[k + 1])
+        out.append([s, RUNS, b, None, pack_ints(first_id[spread(offset[which[mine]], n[mine])])])
+    return as_table(out, ANSWERS)
+
+
+def _finish(buckets: int):
+    def fn(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        kind, bucket = np.array(right["kind"].to_pylist()), np.array(right["bucket"].to_pylist())
+        told = {(k, b): i for i, (k, b) in enumerate(zip(kind.tolist(), bucket.tolist(), strict=True)) if k != SHARED}
+        value = lambda k, b: unpack_ints(right["values"][told[k, b]].as_py())
+        for i in range(left.num_rows):
+            row = {n: left[n][i].as_py() for n in left.column_names}
+            c = Candidates(row, right.filter(pa.array(kind == SHARED)), buckets)
+            edge = np.zeros(int(c.lens.sum()) + 1, dtype=np.int64)
+            # distinct runs' windows in the order of the runs
+            sizes = c.n[c.where]
+            begin = np.cumsum(sizes) - sizes
+            first_id = np.empty(int(sizes.sum()), dtype=np.int64)
+            for b, at in c.runs_by_bucket(buckets):
+                first_id[spread(begin[at], sizes[at])] = value(RUNS, b)
+            gone = first_id[spread(begin[c.which], c.n)] < np.repeat(c.ids, c.n)
+            mark(edge, spread(c.first, c.n)[gone])
+            hot_id = np.empty(len(c.hot_keys), dtype=np.int64)
+            for b, at in c.hot_by_bucket(buckets):
+                hot_id[at] = value(HOT, b)
+            mark(edge, c.hot[hot_id[c.hot_which] < c.hot_ids])
+            rows += cut_out(row, np.cumsum(edge[:-1]) > 0)
+        return as_table(rows, DEDUPED)
+
+    return fn
+
+
+def mark(edge: np.ndarray, windows: np.ndarray) -> None:
+    np.add.at(edge, windows, 1)
+    np.add.at(edge, windows + LENGTH, -1)
+
+
+def cut_out(row: dict, gone: np.ndarray) -> list[list]:
+    texts, lens = load(row)
+    rows, at = [], 0
+    for doc_id, text, n in zip(row["doc_ids"], texts, lens.tolist(), strict=True):
+        start, end = runs(gone[at : at + n])
+        at += n
+        pieces, last = [], 0
+        for s, e in zip(start.tolist(), end.tolist(), strict=True):
+            pieces.append(text[last:s])
+            last = e
+        kept = b"".join([*pieces, text[last:]])
+        rows.append([doc_id, n, n - len(kept), len(start), hashlib.sha256(kept).hexdigest(), np.stack([start, end], axis=1).tolist(), kept])
+    return rows
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -366,10 +425,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = bucket_count(segs)
     body = segs.select("seg", "doc_ids", "lens", "text")
     hashes = map_rows(body, HASHES, _hashes(buckets))
-    shared = hashes.groupBy("bucket").applyInArrow(_shared, spark_schema(SHARED))
-    sent = body.groupBy("seg").cogroup(shared.groupBy("seg")).applyInArrow(_runs(buckets), spark_schema(RUNS))
-    spans = materialize(sent.groupBy("bucket").applyInArrow(_remove, spark_schema(SPANS)), "spans")
-    return body.groupBy("seg").cogroup(spans.groupBy("seg")).applyInArrow(_finish, spark_schema(DEDUPED))
+    shared = materialize(hashes.groupBy("bucket").applyInArrow(_shared(HOT_DOCUMENTS), spark_schema(ANSWERS)), "shared")
+    sent = body.groupBy("seg").cogroup(shared.groupBy("seg")).applyInArrow(_send(buckets), spark_schema(SENT))
+    groups = materialize(sent.groupBy("kind", "bucket").applyInArrow(_group, spark_schema(ANSWERS)), "windows")
+    return body.groupBy("seg").cogroup(shared.union(groups).groupBy("seg")).applyInArrow(_finish(buckets), spark_schema(DEDUPED))
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -41,8 +41,10 @@ def brute_dedup(rows):
     return sorted(out)
 
 
-def test_suffix_dedup_matches_brute_force(docs, texts, monkeypatch):
+@pytest.mark.parametrize("hot", [10_000, 5, 1])
+def test_suffix_dedup_matches_brute_force(docs, texts, monkeypatch, hot):
     monkeypatch.setattr(suffix, "BLOCK", 100)
+    monkeypatch.setattr(suffix, "HOT_DOCUMENTS", hot)
     got = suffix.suffix_dedup(docs)
     cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == brute_dedup(list(enumerate(texts)))
