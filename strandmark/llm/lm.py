@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from .common import WS, Rolling, counts_in, find, materialize, mix, runs
 from .decontaminate import LOWER
 from .quality import spark_schema
-from .segments import as_table, bucket_count, by_bucket, map_rows, pack, pack_sorted, segments, unpack, unpack_sorted
+from .segments import as_table, bucket_count, by_bucket, map_rows, pack, pack_ints, pack_sorted, segments, unpack, unpack_ints, unpack_sorted
 
 #: bytes of context; the keys of grams have DEPTH + 1 bytes
-DEPTH = 4
+DEPTH = 5
 END = 0xFF
 WORDS, GRAMS = 0, 1
 
@@ -44,7 +44,8 @@ SUMMED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64
 GROUPED = pa.schema([("context", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 WEIGHTS = pa.schema([("context", pa.int64()), ("weights", pa.binary()), ("symbols", pa.binary())])
 PRICES = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("logs", pa.binary())])
-ANSWERS = pa.schema([("seg", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
+#: counts of words, or float32 log10 probabilities of grams, in the order in which the segment asked the bucket
+ANSWERS = pa.schema([("seg", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("values", pa.binary())])
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
 
@@ -254,47 +255,45 @@ def _price(depth: int, add: np.ndarray, scale: np.ndarray):
 
 
 def _answer_words(row: dict) -> list[list]:
-    keys, counts = unpack_sorted(row["keys"]), unpack(row["counts"], np.int64)
-    return _answers(row["segs"], row["asked"], WORDS, keys, counts)
-
-
-def _answers(segs: list, asked: list, kind: int, keys: np.ndarray, values: np.ndarray) -> list[list]:
-    return [[s, kind, pack_sorted(keys[at]), pack(values[at])] for s, at in zip(segs, (unpack(a, np.int32) for a in asked), strict=True)]
+    counts = unpack(row["counts"], np.int64)
+    return [[s, WORDS, row["bucket"], pack_ints(counts[unpack(at, np.int32)])] for s, at in zip(row["segs"], row["asked"], strict=True)]
 
 
 def _answer_grams(left: pa.Table, right: pa.Table) -> pa.Table:
     out = []
     if left.num_rows:
         priced = np.concatenate([unpack_sorted(x.as_py()) for x in right["keys"]])
-        logs = np.concatenate([np.frombuffer(x.as_py()) for x in right["logs"]])
-        values = logs[np.argsort(priced)]
-        out = _answers(left["segs"][0].as_py(), left["asked"][0].as_py(), GRAMS, unpack_sorted(left["keys"][0].as_py()), values)
+        logs = np.concatenate([np.frombuffer(x.as_py()) for x in right["logs"]])[np.argsort(priced)].astype(np.float32)
+        out = [[s, GRAMS, left["bucket"][0].as_py(), pack(logs[unpack(at, np.int32)])] for s, at in zip(left["segs"][0].as_py(), left["asked"][0].as_py(), strict=True)]
     return as_table(out, ANSWERS)
 
 
-def _score(depth: int, n: int, v: int, ends: int):
+def _score(depth: int, buckets: int, n: int, v: int, ends: int):
     base = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
 
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
-        kinds = np.array(right["kind"].to_pylist())
+        told = {(k, b): i for i, (k, b) in enumerate(zip(right["kind"].to_pylist(), right["bucket"].to_pylist(), strict=True))}
+
+        def answers(kind, keys):
+            """What the buckets say of each key."""
+            asked, _ = distinct_counts(keys, np.zeros(len(keys), dtype=bool))
+            out = np.empty(len(asked), dtype=np.int64 if kind == WORDS else np.float64)
+            for b, at in by_bucket(asked, mix(asked), buckets):
+                packed = right["values"][told[kind, b]].as_py()
+                out[at] = unpack_ints(packed) if kind == WORDS else unpack(packed, np.float32)
+            return out[find(asked, keys)]
+
         for i in range(left.num_rows):
             row = {name: left[name][i].as_py() for name in left.column_names}
             texts, lens = load(row)
-            found = {}
-            for kind, dtype in ((WORDS, np.int64), (GRAMS, np.float64)):
-                mine = np.flatnonzero(kinds == kind)
-                keys = np.concatenate([np.empty(0, np.uint64), *[unpack_sorted(right["keys"][int(k)].as_py()) for k in mine]])
-                values = np.concatenate([np.empty(0, dtype), *[unpack(right["values"][int(k)].as_py(), dtype) for k in mine]])
-                order = np.argsort(keys)
-                found[kind] = keys[order], values[order]
             doc = lambda m: np.repeat(np.arange(len(texts)), m)
             total = lambda x, m: np.bincount(doc(m), weights=x, minlength=len(texts))
             words, m = word_keys(texts)
-            c = found[WORDS][1][find(found[WORDS][0], words)]
+            c = answers(WORDS, words)
             known, score = total(c > 0, m) + (ends > 0), total(base(c), m) + base(ends)
             grams, g = gram_keys(texts, depth)
-            logs = total(found[GRAMS][1][find(found[GRAMS][0], grams)], g)
+            logs = total(answers(GRAMS, grams), g)
             bits = -logs * np.log2(10) / np.maximum(lens, 1)
             rows += [list(x) for x in zip(row["doc_ids"], [held_out(i) for i in row["doc_ids"]], (m + 1).tolist(), known.astype(np.int64).tolist(), [n] * len(texts), score.tolist(), logs.tolist(), bits.tolist(), strict=True)]
         return as_table(rows, SCORES)
@@ -318,9 +317,9 @@ def ctw_scores(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text
     rows = grouped.groupBy("context").applyInArrow(_weigh(depth), spark_schema(WEIGHTS)).collect()  # one row a pair of bytes: 65,536 at most
     prices = grouped.groupBy("context").applyInArrow(_price(depth, *top_levels(rows)), spark_schema(PRICES))
     told = grams.select("bucket", "keys", "segs", "asked").groupBy("bucket").cogroup(prices.groupBy("bucket")).applyInArrow(_answer_grams, spark_schema(ANSWERS))
-    words = map_rows(summed.where(F.col("kind") == WORDS).select("keys", "counts", "segs", "asked"), ANSWERS, _answer_words)
+    words = map_rows(summed.where(F.col("kind") == WORDS).select("bucket", "counts", "segs", "asked"), ANSWERS, _answer_words)
     answers = words.union(told)
-    score = _score(depth, totals["n"] + ends, totals["known"] + (ends > 0), ends)
+    score = _score(depth, buckets, totals["n"] + ends, totals["known"] + (ends > 0), ends)
     return segs.select("seg", "doc_ids", "lens", "text").groupBy("seg").cogroup(answers.groupBy("seg")).applyInArrow(score, spark_schema(SCORES))
 
 
