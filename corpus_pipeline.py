@@ -14,10 +14,10 @@ from strandmark.llm.decontaminate import contamination
 from strandmark.llm.langid import learn, predict
 from strandmark.llm.mixing import mix
 from strandmark.llm.secrets import redact_secrets
-from strandmark.llm.simhash import near_duplicates
+from strandmark.llm.simhash import similar_documents
 
-#: words in a shingle of the near-duplicate stage
-SHINGLE = 5
+#: words in a shingle, and the shingle similarity from which documents are near duplicates
+SHINGLE, SIMILARITY = 5, 0.8
 #: a text whose n-grams are this far from those of every learned language is rejected
 MIN_SCORE = 0.2
 
@@ -30,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each group; repeated rows of an id and text are one. Rows without id go if their group has a document with one."""
-    found = near_duplicates(docs, shingle=SHINGLE)
+    found = materialize(similar_documents(docs, SHINGLE, SIMILARITY), "groups")
     gone = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct(), "removed")
     kept = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
     again = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")

@@ -11,6 +11,12 @@ broadcast. Shards over a bound are tiled into pairs of chunks, which loses no pa
 Linked fingerprints leave a shard as a star, and the stars are joined to components by
 minimum labels with pointer jumping, each round written to the shared folder.
 
+similar_documents finds similarities that differ in more bits than blocks can be equal in:
+fingerprints of 256 bits, linked below the distance that the similarity implies, are dealt
+to tables of sampled bits, as many tables as find a pair of just that similarity with
+probability RECALL, and the same trees are built and searched in their shards. A shard gives
+the nearest pairs of each fingerprint and a spanning forest, and each is verified on the texts.
+
 Defined cases: a null, empty or blank text has fingerprint 0, linked like any other; fewer
 words than a shingle make one shingle; repeated rows get one row each; null ids count as
 larger than any other and get their component's smallest id, null if it has none.
@@ -18,6 +24,7 @@ larger than any other and get their component's smallest id, null if it has none
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -27,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, counts_in, id_text, materialize, small_batches
+from .common import by_slice, id_text, materialize, mix, small_batches
 from .quality import spark_schema
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -43,10 +50,17 @@ _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
-def simhash(texts: list, shingle: int = SHINGLE) -> np.ndarray:
-    """64-bit fingerprints: a bit is set if it is set in over half of the shingles' hashes, repeats included."""
+#: words of a wide fingerprint; mean shard size and recall that decide its tables
+WIDE, WIDE_SHARD, RECALL = 4, 32, 0.99
+#: pairs of each fingerprint that a shard gives at least (all if there are no more), besides its spanning forest
+NEAREST = 16
+WIDE_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())] + [(f"w{k}", pa.int64()) for k in range(WIDE)] + [("size", pa.int64())])
+
+
+def shingle_hashes(texts: list, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all shingles, and their number in each text."""
     digest = xxhash.xxh64_intdigest
-    hashes, n = [], np.zeros(len(texts), dtype=np.int64)
+    hashes, n = [np.empty(0, dtype=np.uint64)], np.zeros(len(texts), dtype=np.int64)
     for k, t in enumerate(texts):
         words = (t or b"").lower().split()
         if not words:
@@ -61,10 +75,15 @@ def simhash(texts: list, shingle: int = SHINGLE) -> np.ndarray:
             end = np.concatenate((space, [len(line)]))[shingle - 1 :].tolist()
             hashes.append(np.fromiter(map(digest, [line[a:b] for a, b in zip(start, end, strict=True)], repeat(SEED)), dtype=np.uint64, count=m))
         n[k] = m
-    out = np.zeros(len(texts), dtype=np.uint64)
-    if not hashes:
+    return np.concatenate(hashes), n
+
+
+def majority(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each text the bits that over half of its hashes have."""
+    out = np.zeros(len(n), dtype=np.uint64)
+    if not len(hashes):
         return out
-    lanes = _LANES[np.concatenate(hashes).view(np.uint8).reshape(-1, 8)]
+    lanes = _LANES[hashes.view(np.uint8).reshape(-1, 8)]
     first = np.concatenate(([0], np.cumsum(n)))
     steps = -(-n // 255)  # a lane counts to 255
     owner = np.repeat(np.arange(len(n)), steps)
@@ -76,6 +95,18 @@ def simhash(texts: list, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def simhash(texts: list, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit fingerprints: a bit is set if it is set in over half of the shingles' hashes, repeats included."""
+    return majority(*shingle_hashes(texts, shingle))
+
+
+def wide_simhash(texts: list, shingle: int) -> tuple[np.ndarray, list[int]]:
+    """Fingerprints of WIDE words, each from another mix of the same hashes; and the number of distinct shingles."""
+    hashes, n = shingle_hashes(texts, shingle)
+    wide = np.stack([majority(hashes if k == 0 else mix(hashes + np.uint64(k)), n) for k in range(WIDE)], axis=1)
+    return wide, [len(np.unique(h)) for h in np.split(hashes, np.cumsum(n)[:-1])] if len(n) else []
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
     return id_text(docs, id_col, text_col).mapInArrow(by_slice(FINGERPRINTS, lambda ids, texts: {"doc_id": ids, "fp": simhash(texts, shingle).view(np.int64)}), spark_schema(FINGERPRINTS))
@@ -88,28 +119,31 @@ class Forest:
     """A BK-tree for each group of fingerprints, all built and searched level by level in numpy."""
 
     def __init__(self, fp: np.ndarray, group: np.ndarray):
-        """group: ascending; the first member of a group is its root."""
+        """fp: one row of 64-bit words each; group: ascending; the first member of a group is its root."""
         self.fp = fp
+        self.far = 64 * fp.shape[1] + 1
         n = len(fp)
         self.parent, self.edge = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
         head = np.concatenate(([True], group[1:] != group[:-1])) if n else np.empty(0, dtype=bool)
         self.root = np.flatnonzero(head)[np.cumsum(head) - 1] if n else np.empty(0, dtype=np.int64)
         rest, node = np.flatnonzero(~head), self.root[~head]
         while len(rest):
-            far = np.bitwise_count(fp[rest] ^ fp[node]).astype(np.int64)
-            slot = node * 65 + far
+            slot = node * self.far + self.distance(rest, node)
             order = np.argsort(slot, kind="stable")
             rest, slot = rest[order], slot[order]
             new = np.concatenate(([True], slot[1:] != slot[:-1]))
             child = rest[new]
-            self.parent[child], self.edge[child] = slot[new] // 65, slot[new] % 65
+            self.parent[child], self.edge[child] = slot[new] // self.far, slot[new] % self.far
             node = child[np.cumsum(new) - 1][~new]
             rest = rest[~new]
         inner = np.flatnonzero(self.parent >= 0)
-        slot = self.parent[inner] * 65 + self.edge[inner]
+        slot = self.parent[inner] * self.far + self.edge[inner]
         order = np.argsort(slot, kind="stable")
         self.slots, self.children = slot[order], inner[order]
 
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.fp[a] ^ self.fp[b]).sum(axis=1, dtype=np.int64)
+
     def within(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of members of a group at most radius apart, some at a time, each pair in either order or both."""
         at, batch = 0, 4096
@@ -119,12 +153,12 @@ class Forest:
             node, widest = self.root[q], 0
             while len(q):
                 widest = max(widest, len(q))
-                far = np.bitwise_count(self.fp[q] ^ self.fp[node]).astype(np.int64)
+                far = self.distance(q, node)
                 hit = (far <= radius) & (q > node)
                 if hit.any():
                     yield q[hit], node[hit]
-                lo = np.searchsorted(self.slots, node * 65 + np.maximum(far - radius, 0))
-                n = np.searchsorted(self.slots, node * 65 + np.minimum(far + radius, 64), "right") - lo
+                lo = np.searchsorted(self.slots, node * self.far + np.maximum(far - radius, 0))
+                n = np.searchsorted(self.slots, node * self.far + np.minimum(far + radius, self.far - 1), "right") - lo
                 q = np.repeat(q, n)
                 node = self.children[np.repeat(lo, n) + np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)]
             batch = int(np.clip(batch * FRONTIER / max(widest, 1), 64, 65536))
@@ -154,35 +188,92 @@ def stars(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return label
 
 
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of (a, b, distance) pairs, nearest pairs first within what comes at once: each component picks its first pair, until none is left."""
+    label = np.arange(n)
+    chosen: list = [np.empty((0, 2), dtype=np.int64)]
+    for a, b, far in pairs:
+        order = np.argsort(far, kind="stable")
+        a, b = a[order], b[order]
+        while True:
+            x, y = label[a], label[b]
+            live = x != y
+            if not live.any():
+                break
+            a, b = a[live], b[live]
+            _, first = np.unique(np.stack((x[live], y[live]), axis=1).ravel(), return_index=True)
+            pick = np.unique(first // 2)
+            chosen.append(np.stack((a[pick], b[pick]), axis=1))
+            part = stars(n, iter([(label[a[pick]], label[b[pick]])]))
+            label = part[label]
+    both = np.concatenate(chosen)
+    return both[:, 0], both[:, 1]
+
+
+def nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which of the pairs are among the NEAREST of either member."""
+    keep = np.zeros(len(a), dtype=bool)
+    for x in (a, b):
+        order = np.lexsort((far, x))
+        head = np.concatenate(([True], x[order][1:] != x[order][:-1])) if len(a) else np.empty(0, dtype=bool)
+        rank = np.arange(len(a)) - np.flatnonzero(head)[np.cumsum(head) - 1] if len(a) else np.empty(0, dtype=np.int64)
+        keep[order[rank < NEAREST]] = True
+    return keep
+
+
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _shard_links(radius: int):
-    """mapInArrow body over rows sorted by shard: one link to the shard's smallest connected fingerprint for each other."""
+def _shard_links(radius: int, words: list[str], similarity: float | None):
+    """mapInArrow body over rows sorted by shard: links that connect what is connected in a shard, at most one for each fingerprint.
+
+    With a similarity, the smaller of two sets must have that share of the larger one's size at least, and the links
+    are pairs within the radius to be verified: a spanning forest and the nearest of each fingerprint.
+    """
 
-    def links(shard: np.ndarray, tile: np.ndarray, table: np.ndarray, fp: np.ndarray):
-        change = (shard[1:] != shard[:-1]) | (table[1:] != table[:-1]) | (tile[1:] != tile[:-1])
+    def alike(tree, size):
+        for a, b in tree.within(radius):
+            ok = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+            yield a[ok], b[ok], tree.distance(a[ok], b[ok])
+
+    def links(key, tile, which, fp, *bits):
+        if similarity is not None:
+            *bits, size = bits
+        change = (key[1:] != key[:-1]) | (which[1:] != which[:-1]) | (tile[1:] != tile[:-1])
         group = np.concatenate(([0], np.cumsum(change)))
-        label = stars(len(fp), Forest(fp, group).within(radius))
-        far = np.flatnonzero(label != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[far].view(np.int64)), pa.array(fp[label[far]].view(np.int64))], schema=LINKS)
+        tree = Forest(np.stack(bits, axis=1).view(np.uint64), group)
+        if similarity is None:
+            label = stars(len(fp), tree.within(radius))
+            a = np.flatnonzero(label != np.arange(len(fp)))
+            b = label[a]
+        else:
+            close: list = []
+
+            def watched():
+                for a, b, far in alike(tree, size):
+                    keep = nearest(a, b, far)
+                    close.append(np.stack((a[keep], b[keep])))
+                    yield a, b, far
+
+            a, b = np.concatenate([np.stack(forest(len(fp), watched())), *close], axis=1)
+        a, b = fp[a], fp[b]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=LINKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, size = ("key", "tile", "which", "fp"), [], 0
+        held, size = [], 0
         for b in batches:
-            held.append([b.column(n).to_numpy(zero_copy_only=False) for n in names])
+            held.append([b.column(n).to_numpy(zero_copy_only=False) for n in ("key", "tile", "which", "fp", *words, *(["size"] if similarity is not None else []))])
             size += b.num_rows
             if size < ROWS:
                 continue
-            key, tile, which, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            last = np.flatnonzero((key[1:] != key[:-1]) | (which[1:] != which[:-1]) | (tile[1:] != tile[:-1]))
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            last = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield links(key[:cut], tile[:cut], which[:cut], fp[:cut].view(np.uint64))
-            held, size = [[key[cut:], tile[cut:], which[cut:], fp[cut:]]], len(key) - cut
+                yield links(*[c[:cut] for c in cols])
+            held, size = [[c[cut:] for c in cols]], len(cols[0]) - cut
         if size:
-            key, tile, which, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield links(key, tile, which, fp.view(np.uint64))
+            yield links(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
     return run
 
@@ -207,6 +298,11 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     masks = shard_masks(distinct.count(), radius)
     tables = F.array(*[F.struct(F.lit(i).alias("which"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
     rows = distinct.select("fp", F.explode(tables).alias("s")).select("fp", "s.which", "s.key")
+    return _search(rows, radius, ["fp"])
+
+
+def _search(rows: DataFrame, radius: int, words: list[str], similarity: float | None = None) -> DataFrame:
+    """Links inside the shards (which, key) of rows. A shard over TILE becomes the pairs of its chunks."""
     large = materialize(rows.groupBy("which", "key").count().where(F.col("count") > TILE).select("which", "key", F.ceil(F.col("count") / (TILE / 2)).cast("int").alias("chunks")), "large-shards")
     if large.isEmpty():
         rows = rows.withColumn("tile", F.lit(0).cast("long"))
@@ -216,7 +312,36 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         pair = F.transform(others, lambda j: (F.least(j, F.col("mine")) * F.col("chunks") + F.greatest(j, F.col("mine"))).cast("long") + 1)
         rows = dealt.withColumn("tile", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pair))).drop("mine", "chunks")
     rows = rows.repartition("which", "key", "tile").sortWithinPartitions("which", "key", "tile", "fp")
-    return rows.select("which", "key", "tile", "fp").mapInArrow(_shard_links(radius), spark_schema(LINKS)).distinct()
+    return rows.select("which", "key", "tile", *dict.fromkeys(["fp", *words, *(["size"] if similarity is not None else [])])).mapInArrow(_shard_links(radius, words, similarity), spark_schema(LINKS)).distinct()
+
+
+def wide_plan(n: int, similarity: float) -> tuple[int, list[list[int]]]:
+    """Radius of n wide fingerprints, and the bits that key each table."""
+    same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi  # share of equal bits at this Jaccard similarity
+    bits = 64 * WIDE
+    radius = round(bits * (1 - same) + 2 * math.sqrt(bits * same * (1 - same)))
+    key = min(max(12, math.ceil(math.log2(max(n, 1) / WIDE_SHARD))), 60)
+    tables = math.ceil(math.log(1 - RECALL) / math.log1p(-(same**key)))
+    rng = np.random.default_rng(SEED)
+    return radius, [sorted(rng.choice(bits, key, replace=False).tolist()) for _ in range(tables)]
+
+
+def wide_links(distinct: DataFrame, similarity: float) -> DataFrame:
+    """distinct: fp and its words, materialized."""
+    radius, tables = wide_plan(distinct.count(), similarity)
+    words = [f"w{k}" for k in range(WIDE)]
+    schema = pa.schema([("which", pa.int32()), ("key", pa.int64()), ("fp", pa.int64())] + [(w, pa.int64()) for w in words] + [("size", pa.int64())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [b.column(n).to_numpy(zero_copy_only=False) for n in words]
+            for t, bits in enumerate(tables):
+                key = np.zeros(b.num_rows, dtype=np.int64)
+                for x in bits:
+                    key = (key << 1) | ((cols[x // 64] >> (x % 64)) & 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, dtype=np.int32)), pa.array(key), b.column("fp"), *[b.column(w) for w in words], b.column("size")], schema=schema)
+
+    return _search(distinct.select("fp", *words, "size").mapInArrow(deal, spark_schema(schema)), radius, words, similarity)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -235,14 +360,67 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (signed), component_id for each document row."""
+    """doc_id, fp (signed), component_id for each document row; links are 64-bit fingerprints at most radius apart, none of which is lost."""
     prints = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    label = components(links(distinct.select("fp"), radius))
+    return _grouped(prints, distinct, links(distinct.select("fp"), radius))
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (a hash of the wide fingerprint), component_id for each document row; links are Jaccard similarities of shingle sets of at least the given one."""
+    small_batches(docs.sparkSession)
+
+    def rows(ids, texts):
+        wide, size = wide_simhash(texts, shingle)
+        fp = np.zeros(len(wide), dtype=np.uint64)
+        for k in range(WIDE):
+            fp = mix(fp * np.uint64(3) + wide[:, k])
+        return {"doc_id": ids, "fp": fp.view(np.int64), "size": size} | {f"w{k}": np.ascontiguousarray(wide[:, k]).view(np.int64) for k in range(WIDE)}
+
+    prints = materialize(id_text(docs, id_col, text_col).mapInArrow(by_slice(WIDE_PRINTS, rows), spark_schema(WIDE_PRINTS)), "fingerprints")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in (*[f"w{k}" for k in range(WIDE)], "size")]), "distinct")
+    edges = materialize(wide_links(distinct, similarity), "candidates")
+    edges = verified(edges, distinct, id_text(docs, id_col, text_col), shingle, similarity)
+    return _grouped(prints.select("doc_id", "fp"), distinct.select("fp", "least"), edges)
+
+
+SETS = pa.schema([("fp", pa.int64()), ("hashes", pa.binary())])
+
+
+def verified(edges: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges whose texts, of the smallest ids, have that Jaccard similarity of shingles; without an id to find a text by, the estimate stands."""
+    nodes = materialize(edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct().join(distinct.select("fp", "least"), "fp"), "nodes")
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, n = shingle_hashes(b.column("text").cast(pa.binary()).to_pylist(), shingle)
+            sets = [np.unique(x.astype(np.uint32)).tobytes() for x in np.split(h, np.cumsum(n)[:-1])]
+            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(sets, pa.binary())], schema=SETS)
+
+    found = docs.join(nodes, docs["doc_id"] == nodes["least"]).select("fp", "text")
+    sets = materialize(found.mapInArrow(hashes, spark_schema(SETS)).groupBy("fp").agg(F.min("hashes").alias("hashes")), "sets")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                if x is not None and y is not None:
+                    both = len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True))
+                    ok.append(both >= similarity * ((len(x) + len(y)) // 4 - both))
+                else:
+                    ok.append(True)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], schema=LINKS).filter(pa.array(ok, pa.bool_()))
+
+    pairs = edges.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a", "left").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b", "left")
+    return pairs.select("a", "b", "x", "y").mapInArrow(judge, spark_schema(LINKS))
+
+
+def _grouped(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    label = components(edges)
     joined = distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    smallest = joined.where(F.col("label") != F.col("fp")).groupBy("label").agg(F.min("least").alias("other"))
-    # a component's id comes from its members other than the label node and from that node itself
     joined = materialize(joined, "members")
+    # a component's id comes from its members other than the label node and from that node itself
+    smallest = joined.where(F.col("label") != F.col("fp")).groupBy("label").agg(F.min("least").alias("other"))
     root = joined.where("label = fp").select(F.col("fp").alias("label"), F.col("least").alias("own"))
     ids = root.join(smallest, "label", "left").select("label", F.least("own", "other").alias("component_id"))
     by_print = joined.select("fp", "label").join(ids, "label").select("fp", "component_id")

@@ -134,6 +134,35 @@ def test_links_with_tiles_and_more_blocks(spark, monkeypatch):
         assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want))
 
 
+def test_similar_documents_recall_and_precision(spark, monkeypatch):
+    """Groups of edited copies at Jaccard 0.8 to 0.95 of five-word shingles against independent texts of the same vocabulary."""
+    import random
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(300)]
+    rows, want, near = [], [], 0
+    sh = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    for g in range(150):
+        base = rng.choices(vocabulary, k=rng.randint(60, 400))
+        rows.append((len(rows), " ".join(base)))
+        want.append(rows[-1][0])
+        if g % 2:
+            copy = list(base)
+            for _ in range(max(1, len(base) // 60)):
+                copy[rng.randrange(len(copy))] = "edited"
+            j = len(sh(base) & sh(copy)) / len(sh(base) | sh(copy))
+            rows.append((len(rows), " ".join(copy)))
+            want.append(want[-1] if j >= 0.8 else rows[-1][0])
+            near += j >= 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (20_000, 8):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+        found = sum(got[i] == w for i, w in enumerate(want) if w != i)
+        assert near > 30 and found >= 0.95 * near
+        assert all(got[i] in (i, i - 1) for i in got)  # nothing but a text's own copy
+
+
 def test_near_duplicate_edges(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
     df = spark.createDataFrame([(None, None), (7, ""), (3, " \n"), (9, "a b c d e"), (9, "A  b c d e")], "doc_id long, text string").withColumn("fp", F.lit("clash"))
