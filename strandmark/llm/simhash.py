@@ -15,7 +15,7 @@ similar_documents finds similarities that differ in more bits than blocks can be
 fingerprints of 256 bits, linked below the distance that the similarity implies, are dealt
 to tables of sampled bits, as many tables as find a pair of just that similarity with
 probability RECALL, and the same trees are built and searched in their shards. A shard gives
-the nearest pairs of each fingerprint and a spanning forest, and each is verified on the texts.
+a spanning forest of its pairs, nearest first, and each of these is verified on the texts.
 
 Defined cases: a null, empty or blank text has fingerprint 0, linked like any other; fewer
 words than a shingle make one shingle; repeated rows get one row each; null ids count as
@@ -52,8 +52,6 @@ FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 #: words of a wide fingerprint; mean shard size and recall that decide its tables
 WIDE, WIDE_SHARD, RECALL = 4, 32, 0.99
-#: pairs of each fingerprint that a shard gives at least (all if there are no more), besides its spanning forest
-NEAREST = 16
 WIDE_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())] + [(f"w{k}", pa.int64()) for k in range(WIDE)] + [("size", pa.int64())])
 
 
@@ -210,17 +208,6 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -
     return both[:, 0], both[:, 1]
 
 
-def nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Which of the pairs are among the NEAREST of either member."""
-    keep = np.zeros(len(a), dtype=bool)
-    for x in (a, b):
-        order = np.lexsort((far, x))
-        head = np.concatenate(([True], x[order][1:] != x[order][:-1])) if len(a) else np.empty(0, dtype=bool)
-        rank = np.arange(len(a)) - np.flatnonzero(head)[np.cumsum(head) - 1] if len(a) else np.empty(0, dtype=np.int64)
-        keep[order[rank < NEAREST]] = True
-    return keep
-
-
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -228,7 +215,7 @@ def _shard_links(radius: int, words: list[str], similarity: float | None):
     """mapInArrow body over rows sorted by shard: links that connect what is connected in a shard, at most one for each fingerprint.
 
     With a similarity, the smaller of two sets must have that share of the larger one's size at least, and the links
-    are pairs within the radius to be verified: a spanning forest and the nearest of each fingerprint.
+    are pairs within the radius, a spanning forest with the nearest first, to be verified.
     """
 
     def alike(tree, size):
@@ -247,15 +234,7 @@ def _shard_links(radius: int, words: list[str], similarity: float | None):
             a = np.flatnonzero(label != np.arange(len(fp)))
             b = label[a]
         else:
-            close: list = []
-
-            def watched():
-                for a, b, far in alike(tree, size):
-                    keep = nearest(a, b, far)
-                    close.append(np.stack((a[keep], b[keep])))
-                    yield a, b, far
-
-            a, b = np.concatenate([np.stack(forest(len(fp), watched())), *close], axis=1)
+            a, b = forest(len(fp), alike(tree, size))
         a, b = fp[a], fp[b]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=LINKS)
 
@@ -319,7 +298,7 @@ def wide_plan(n: int, similarity: float) -> tuple[int, list[list[int]]]:
     """Radius of n wide fingerprints, and the bits that key each table."""
     same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi  # share of equal bits at this Jaccard similarity
     bits = 64 * WIDE
-    radius = round(bits * (1 - same) + 2 * math.sqrt(bits * same * (1 - same)))
+    radius = round(bits * (1 - same) + 3 * math.sqrt(bits * same * (1 - same)))
     key = min(max(12, math.ceil(math.log2(max(n, 1) / WIDE_SHARD))), 60)
     tables = math.ceil(math.log(1 - RECALL) / math.log1p(-(same**key)))
     rng = np.random.default_rng(SEED)
