@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import differential, filters, summarize
 from .plans import qc, workflow
+from .session import ship_package
 from .sources import annotation, archive, paths, sinks
 
 
@@ -23,6 +24,9 @@ class Database:
     root: str
     current_table: str | None = None
 
+    def __post_init__(self) -> None:
+        ship_package(self.spark)
+
     # ------------------------------------------------------------ tables
 
     def path(self, name: str) -> str:
