@@ -376,7 +376,8 @@ def verified(edges: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: in
             sets = [np.unique(x.astype(np.uint32)).tobytes() for x in np.split(h, np.cumsum(n)[:-1])]
             yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(sets, pa.binary())], schema=SETS)
 
-    found = docs.join(nodes, docs["doc_id"] == nodes["least"]).select("fp", "text")
+    # the nodes grow with the documents: an exchange at every size
+    found = docs.join(nodes.hint("merge"), docs["doc_id"] == nodes["least"]).select("fp", "text")
     sets = materialize(found.mapInArrow(hashes, spark_schema(SETS)).groupBy("fp").agg(F.min("hashes").alias("hashes")), "sets")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
