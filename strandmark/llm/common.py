@@ -82,8 +82,9 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
-    """Bound the bytes of an Arrow batch that goes to Python (documents and packed rows have up to many MB each)."""
+def small_batches(spark: SparkSession, size: int = 16 << 20, rows: int = 2000) -> None:
+    """Bound the bytes and rows of an Arrow batch that goes to Python (documents and packed rows have up to many MB each)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
