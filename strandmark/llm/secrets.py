@@ -35,6 +35,7 @@ HEX = re.compile(rb"[0-9a-f]{32,}")
 GITHUB = re.compile(rb"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 NPM = re.compile(rb"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+JWT_RUN = re.compile(rb"[A-Za-z0-9_-]+")
 PEM = re.compile(rb"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END \1PRIVATE KEY-----")
 SLACK = re.compile(rb"xox[abprs]-[0-9]{6,}-[A-Za-z0-9-]{10,}")
 DIGITS62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -96,6 +97,8 @@ def scan(text: bytes) -> list[tuple[int, str, int]]:
             free[kind] = m.end()
             if counts(m):
                 found.append((at, KINDS.index(kind), m.end()))
+        elif kind == "jwt" and text.startswith(b"eyJ", at):  # a later start in this run of token characters meets the same end
+            free[kind] = JWT_RUN.match(text, at).end()
     found += [(m.start(), KINDS.index("hex"), m.end()) for m in HEX.finditer(text)]
     return [(s, KINDS[k], e) for s, k, e in sorted(found)]
 

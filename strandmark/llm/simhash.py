@@ -13,8 +13,8 @@ minimum labels with pointer jumping, each round written to the shared folder.
 
 similar_documents finds similarities that differ in more bits than blocks can be equal in:
 fingerprints of 256 bits, linked below the distance that the similarity implies, are dealt
-to tables of sampled bits, as many tables as find a pair of just that similarity with
-probability RECALL, and the same trees are built and searched in their shards. A shard gives
+to tables of sampled bits, as many tables as find a pair of just that similarity, whose
+distance is binomial, with probability RECALL, and the same trees are built and searched in their shards. A shard gives
 a spanning forest of its pairs, nearest first, and each of these is verified on the texts.
 
 Defined cases: a null, empty or blank text has fingerprint 0, linked like any other; fewer
@@ -51,7 +51,7 @@ FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
 #: words of a wide fingerprint; mean shard size and recall that decide its tables
-WIDE, WIDE_SHARD, RECALL = 4, 32, 0.99
+WIDE, WIDE_SHARD, RECALL = 4, 32, 0.995
 WIDE_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())] + [(f"w{k}", pa.int64()) for k in range(WIDE)] + [("size", pa.int64())])
 
 
@@ -300,7 +300,11 @@ def wide_plan(n: int, similarity: float) -> tuple[int, list[list[int]]]:
     bits = 64 * WIDE
     radius = round(bits * (1 - same) + 3 * math.sqrt(bits * same * (1 - same)))
     key = min(max(12, math.ceil(math.log2(max(n, 1) / WIDE_SHARD))), 60)
+    chance = [math.comb(bits, d) * (1 - same) ** d * same ** (bits - d) for d in range(radius + 1)]
+    missed = lambda t: sum(p * (1 - ((bits - d) / bits) ** key) ** t for d, p in enumerate(chance)) / sum(chance)
     tables = math.ceil(math.log(1 - RECALL) / math.log1p(-(same**key)))
+    while missed(tables) > 1 - RECALL:
+        tables += 1
     rng = np.random.default_rng(SEED)
     return radius, [sorted(rng.choice(bits, key, replace=False).tolist()) for _ in range(tables)]
 

@@ -49,3 +49,13 @@ def test_stages_on_empty_and_clashing_tables(spark, empty, tmp_path):
             out.count()
             assert out.columns[: len(df.columns)] == df.columns
             df = out
+
+
+def test_near_dedup_of_rows_without_id(spark, tmp_path):
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, b + " end"), (None, c), (2, None), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept if r.text not in (b, b + " end")) == sorted([(1, a), (0, c), (2, "")])
+    assert sum(r.text in (b, b + " end") for r in kept) == 1

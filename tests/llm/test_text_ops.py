@@ -77,6 +77,12 @@ CASES = [
 ]
 
 
+def test_tokens_in_long_runs():
+    good = b"eyJ0eXAiOiJKV1QifQ.eyJzdWIiOiIxIn0.c2ln"
+    assert secrets.scan(b"EYJxx" + good) == secrets.scan(b"-----" + good) and len(secrets.scan(good)) == 1
+    assert secrets.scan(b"eyJa " * 3 + b"eyJa" * 100_000 + b" " + good)[0][1] == "jwt"
+
+
 def test_secrets_match_brute_force(spark, docs, texts):
     cases = CASES + texts
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
