@@ -1,7 +1,8 @@
 """A training-data pipeline over documents: STAGES in order, each written as Parquet and reread as the next one's docs.
 
-A row is addressed by a hash of its id and text, so rows without id are judged like others;
-near-duplicate groups, which keep their document of the smallest id, take an id as one document.
+Rows without id are judged like others: decontamination addresses a row by a hash of its id and
+text; near-duplicate groups, which keep their document of the smallest id, take an id as one
+document and make one from the text of a row without.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from strandmark.llm.simhash import similar_documents
 SHINGLE, SIMILARITY = 5, 0.8
 #: a text whose n-grams are this far from those of every learned language is rejected
 MIN_SCORE = 0.2
+#: ids made for rows without one begin here
+LARGE = 1 << 62
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +32,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group; repeated rows of an id and text are one. Rows without id go if their group has a document with one."""
-    found = materialize(similar_documents(docs, SHINGLE, SIMILARITY), "groups")
+    """Keep the document of the smallest id of each group; repeated rows of an id and text are one. A row without id takes one from its text, larger than any other."""
+    number = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(LARGE - 1) + F.lit(LARGE))
+    found = materialize(similar_documents(docs.select(number.alias("doc_id"), "text"), SHINGLE, SIMILARITY), "groups")
     gone = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct(), "removed")
-    kept = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    kept = docs.join(gone, number == F.col("__id"), "left_anti")
     again = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
