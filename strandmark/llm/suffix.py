@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Rolling, find, materialize, mix, runs
+from .common import Rolling, materialize, mix, runs
 from .lm import load
 from .quality import spark_schema
 from .segments import BUCKET_BYTES, as_table, bucket_count, by_bucket, map_rows, pack, pack_ints, pack_sorted, segments, unpack, unpack_ints, unpack_sorted
@@ -47,10 +47,11 @@ HOT_DOCUMENTS = 10_000
 NO_ID = np.iinfo(np.int64).max
 
 HASHES = pa.schema([("bucket", pa.int64()), ("seg", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())])
-#: kind: SHARED (values: 1 for hot K-grams), RUNS (values: smallest id of each window of each distinct run), HOT (of each hot window)
-ANSWERS = pa.schema([("seg", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
+#: kind: SHARED (values: for each K-gram that the segment sent to the bucket, ALONE, COMMON or VERY_COMMON), RUNS (values: smallest id of each window of each distinct run), HOT (of each hot window)
+ANSWERS = pa.schema([("seg", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("values", pa.binary())])
 SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("seg", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("n", pa.binary()), ("text", pa.binary())])
 SHARED, RUNS, HOT = 0, 1, 2
+ALONE, COMMON, VERY_COMMON = 0, 1, 2
 DEDUPED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
 
 
@@ -238,7 +239,7 @@ def _hashes(buckets: int):
 
 
 def _shared(hot: int):
-    """Of a bucket's hashes, those of two documents or more, and which are hot, told to each segment that has them."""
+    """Which of a bucket's hashes are of two documents or more, and which are hot, told to each segment in the order in which it sent them."""
 
     def fn(table: pa.Table) -> pa.Table:
         mine = [unpack_sorted(x.as_py()) for x in table["keys"]]
@@ -248,10 +249,9 @@ def _shared(hot: int):
         total = np.bincount(which, weights=docs)
         cut = np.cumsum([len(k) for k in mine])[:-1]
         out = []
-        for seg, k, n in zip(table["seg"].to_pylist(), mine, np.split(total[which], cut), strict=True):
-            common = n > 1
-            if common.any():
-                out.append([seg, SHARED, 0, pack_sorted(k[common]), pack((n[common] > hot).astype(np.uint8))])
+        for seg, n in zip(table["seg"].to_pylist(), np.split(total[which], cut), strict=True):
+            if (n > 1).any():
+                out.append([seg, SHARED, table["bucket"][0].as_py(), pack((n > 1).astype(np.uint8) + (n > hot))])
         return as_table(out, ANSWERS)
 
     return fn
@@ -263,22 +263,24 @@ class Candidates:
     def __init__(self, row: dict, shared: pa.Table, buckets: int):
         texts, self.lens = load(row)
         first, n, h, doc, blob = picks(texts, self.lens)
-        keys = np.concatenate([np.empty(0, np.uint64), *[unpack_sorted(x.as_py()) for x in shared["keys"]]])
-        flags = np.concatenate([np.empty(0, np.uint8), *[unpack(x.as_py(), np.uint8) for x in shared["values"]]])
-        order = np.argsort(keys)
-        keys, flags = keys[order], flags[order]
-        at = find(keys, short(h, buckets))
+        keys, at = np.unique(short(h, buckets), return_inverse=True)
+        told = dict(zip(shared["bucket"].to_pylist(), shared["values"].to_pylist(), strict=True))
+        state = np.full(len(keys), ALONE, dtype=np.uint8)
+        for b, mine in by_bucket(keys, mix(keys), buckets):
+            if b in told:
+                state[mine] = unpack(told[b], np.uint8)
+        state = state[at]
         ids = np.array([NO_ID if i is None else i for i in row["doc_ids"]], dtype=np.int64)
         self.buf = np.frombuffer(blob, dtype=np.uint8)
         rolling = Rolling(self.buf)
-        cool = np.flatnonzero((at >= 0) & (flags[at] == 0) if len(flags) else at >= 0)
+        cool = np.flatnonzero(state == COMMON)
         self.first, self.n, self.ids = first[cool], n[cool], ids[doc[cool]]
         # equal runs by the 64-bit hash of their bytes: the K-gram's hash decides the bucket
         content = rolling.spans(self.first, self.first + self.n + LENGTH - 1)
         _, self.where, self.which = np.unique(content, return_index=True, return_inverse=True)
         self.least = smallest(self.ids, self.which, len(self.where))
         self.hashes = mix(h[cool][self.where])
-        warm = np.flatnonzero((at >= 0) & (flags[at] == 1) if len(flags) else np.zeros(len(at), dtype=bool))
+        warm = np.flatnonzero(state == VERY_COMMON)
         self.hot = spread(first[warm], n[warm])
         self.hot_ids = np.repeat(ids[doc[warm]], n[warm])
         self.hot_keys, self.hot_which = np.unique(rolling.spans(self.hot, self.hot + LENGTH), return_inverse=True)
@@ -327,7 +329,7 @@ def _group_hot(table: pa.Table) -> pa.Table:
     keys, which = np.unique(np.concatenate(mine), return_inverse=True)
     least = smallest(np.concatenate([unpack_ints(x.as_py()) for x in table["ids"]]), which, len(keys))
     cut = np.cumsum([len(k) for k in mine])[:-1]
-    return as_table([[s, HOT, b, None, pack_ints(x)] for s, b, x in zip(table["seg"].to_pylist(), table["bucket"].to_pylist(), np.split(least[which], cut), strict=True)], ANSWERS)
+    return as_table([[s, HOT, b, pack_ints(x)] for s, b, x in zip(table["seg"].to_pylist(), table["bucket"].to_pylist(), np.split(least[which], cut), strict=True)], ANSWERS)
 
 
 def _group_runs(table: pa.Table) -> pa.Table:
@@ -367,7 +369,7 @@ def _group_runs(table: pa.Table) -> pa.Table:
     out = []
     for k, (s, b) in enumerate(zip(table["seg"].to_pylist(), table["bucket"].to_pylist(), strict=True)):
         mine = slice(held[k], held[k + 1])
-        out.append([s, RUNS, b, None, pack_ints(first_id[spread(offset[which[mine]], n[mine])])])
+        out.append([s, RUNS, b, pack_ints(first_id[spread(offset[which[mine]], n[mine])])])
     return as_table(out, ANSWERS)
 
 
