@@ -14,8 +14,9 @@ minimum labels with pointer jumping, each round written to the shared folder.
 similar_documents finds similarities that differ in more bits than blocks can be equal in:
 fingerprints of 256 bits, linked below the distance that the similarity implies, are dealt
 to tables of sampled bits, as many tables as find a pair of just that similarity, whose
-distance is binomial, with probability RECALL, and the same trees are built and searched in their shards. A shard gives
-a spanning forest of its pairs, nearest first, and each of these is verified on the texts.
+distance is binomial, with probability RECALL, and the same trees are built and searched in their shards. Each
+pair that a search finds is judged there on its shingle sets, in the first table that holds it, unless pairs judged
+similar already connect it: only verified pairs unite. The sets lie in files of the shared folder and are read as pairs ask for them.
 
 Defined cases: a null, empty or blank text has fingerprint 0, linked like any other; fewer
 words than a shingle make one shingle; repeated rows get one row each; null ids count as
@@ -31,10 +32,11 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, id_text, materialize, mix, small_batches
+from .common import by_slice, filesystem, id_text, materialize, mix, new_path, slices, small_batches
 from .quality import spark_schema
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -52,7 +54,9 @@ FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 #: words of a wide fingerprint; mean shard size and recall that decide its tables
 WIDE, WIDE_SHARD, RECALL = 4, 32, 0.995
-WIDE_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())] + [(f"w{k}", pa.int64()) for k in range(WIDE)] + [("size", pa.int64())])
+WIDE_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())] + [(f"w{k}", pa.int64()) for k in range(WIDE)] + [("size", pa.int64()), ("loc", pa.int64())])
+#: set hashes that a task holds, and asks for at once; pairs judged at once; bits of a set's parity; bits of a place in a file of sets
+HELD, ASKED, PAIRS, PARITY, PLACE = 16_000_000, 4_000_000, 20_000, 2048, 36
 
 
 def shingle_hashes(texts: list, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,11 +102,11 @@ def simhash(texts: list, shingle: int = SHINGLE) -> np.ndarray:
     return majority(*shingle_hashes(texts, shingle))
 
 
-def wide_simhash(texts: list, shingle: int) -> tuple[np.ndarray, list[int]]:
-    """Fingerprints of WIDE words, each from another mix of the same hashes; and the number of distinct shingles."""
+def wide_simhash(texts: list, shingle: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Fingerprints of WIDE words, each from another mix of the same hashes; and the sets of shingles, as 32 bits of the hashes."""
     hashes, n = shingle_hashes(texts, shingle)
     wide = np.stack([majority(hashes if k == 0 else mix(hashes + np.uint64(k)), n) for k in range(WIDE)], axis=1)
-    return wide, [len(np.unique(h)) for h in np.split(hashes, np.cumsum(n)[:-1])] if len(n) else []
+    return wide, [np.unique(h.astype(np.uint32)) for h in np.split(hashes, np.cumsum(n)[:-1])] if len(n) else []
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,8 +166,8 @@ class Forest:
             batch = int(np.clip(batch * FRONTIER / max(widest, 1), 64, 65536))
 
 
-def stars(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest linked index of each of n nodes."""
+def stars(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], judge=None) -> np.ndarray:
+    """The smallest linked index of each of n nodes. judge(a, b) says which of the first pairs it takes are links; connected pairs are not judged."""
     label = np.arange(n)
 
     def settle(a, b):
@@ -182,66 +186,105 @@ def stars(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
                 label[:] = jumped
 
     for a, b in pairs:
-        settle(a, b)
+        if judge is None:
+            settle(a, b)
+            continue
+        while len(a):
+            live = label[a] != label[b]
+            a, b = a[live], b[live]
+            ok = judge(a, b)
+            k = len(ok)
+            settle(a[:k][ok], b[:k][ok])
+            a, b = a[k:], b[k:]
     return label
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of (a, b, distance) pairs, nearest pairs first within what comes at once: each component picks its first pair, until none is left."""
-    label = np.arange(n)
-    chosen: list = [np.empty((0, 2), dtype=np.int64)]
-    for a, b, far in pairs:
-        order = np.argsort(far, kind="stable")
-        a, b = a[order], b[order]
-        while True:
-            x, y = label[a], label[b]
-            live = x != y
-            if not live.any():
-                break
-            a, b = a[live], b[live]
-            _, first = np.unique(np.stack((x[live], y[live]), axis=1).ravel(), return_index=True)
-            pick = np.unique(first // 2)
-            chosen.append(np.stack((a[pick], b[pick]), axis=1))
-            part = stars(n, iter([(label[a[pick]], label[b[pick]])]))
-            label = part[label]
-    both = np.concatenate(chosen)
-    return both[:, 0], both[:, 1]
+class Sets:
+    """Shingle sets in files of a shared folder, read as pairs ask for them."""
+
+    def __init__(self, folder: str):
+        self.files, self.path = filesystem(folder)
+        self.open: dict = {}
+        self.held: dict = {}
+        self.total = 0
+
+    def get(self, loc: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """A set, and the parity of its members in each of PARITY classes."""
+        if (loc, size) not in self.held:
+            name, at = loc >> PLACE, loc & ((1 << PLACE) - 1)
+            if name not in self.open:
+                if len(self.open) >= 64:
+                    self.open.popitem()[1].close()
+                self.open[name] = self.files.open_input_file(f"{self.path}/{name}")
+            hashes = np.frombuffer(self.open[name].read_at(4 * size, 4 * at), dtype=np.uint32)
+            odd = (np.bincount(hashes & np.uint32(PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)
+            self.held[loc, size] = hashes, np.packbits(odd).view(np.uint64)
+            self.total += size + PARITY // 32
+        return self.held[loc, size]
+
+    def alike(self, a: np.ndarray, b: np.ndarray, loc: np.ndarray, size: np.ndarray, similarity: float) -> np.ndarray:
+        """Whether pairs have that Jaccard similarity, for the first pairs whose sets fit in memory.
+
+        Sets differ in at least as many members as their parities differ in bits: pairs too far apart by that bound need no intersection.
+        """
+        k = min(max(int(np.searchsorted(np.cumsum(size[a] + size[b]), ASKED)), 1), PAIRS, len(a))
+        a, b = a[:k], b[:k]
+        if self.total > HELD:
+            self.held, self.total = {}, 0
+        nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        if not len(nodes):
+            return np.zeros(0, dtype=bool)
+        sets = [self.get(x, n) for x, n in zip(loc[nodes].tolist(), size[nodes].tolist(), strict=True)]
+        parity = np.stack([p for _, p in sets])
+        differ, total = np.bitwise_count(parity[at[:k]] ^ parity[at[k:]]).sum(axis=1, dtype=np.int64), size[a] + size[b]
+        ok = total - differ >= similarity * (total + differ) - 1e-6
+        for i in np.flatnonzero(ok):
+            both = len(np.intersect1d(sets[at[i]][0], sets[at[k + i]][0], assume_unique=True))
+            ok[i] = both >= similarity * (total[i] - both)
+        return ok
 
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _shard_links(radius: int, words: list[str], similarity: float | None):
+def _shard_links(radius: int, words: list[str], similar: tuple | None):
     """mapInArrow body over rows sorted by shard: links that connect what is connected in a shard, at most one for each fingerprint.
 
-    With a similarity, the smaller of two sets must have that share of the larger one's size at least, and the links
-    are pairs within the radius, a spanning forest with the nearest first, to be verified.
+    similar: a similarity, the folder of the sets and the masks of the tables. Pairs within the radius are then links if
+    their sets are similar; the smaller must have that share of the larger one's size at least, and no earlier table may hold both.
     """
+    extra = ["size", "loc"] if similar else []
 
-    def alike(tree, size):
+    def found(tree, size, which):
+        similarity, _, masks = similar
         for a, b in tree.within(radius):
             ok = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
-            yield a[ok], b[ok], tree.distance(a[ok], b[ok])
-
-    def links(key, tile, which, fp, *bits):
-        if similarity is not None:
-            *bits, size = bits
+            a, b = a[ok], b[ok]
+            for t in range(int(which[a].max(initial=0))):
+                new = (which[a] <= t) | ((tree.fp[a] ^ tree.fp[b]) & masks[t]).any(axis=1)
+                a, b = a[new], b[new]
+            order = np.argsort(tree.distance(a, b), kind="stable")
+            yield a[order], b[order]
+
+    def links(sets, key, tile, which, fp, *bits):
+        if similar:
+            *bits, size, loc = bits
         change = (key[1:] != key[:-1]) | (which[1:] != which[:-1]) | (tile[1:] != tile[:-1])
         group = np.concatenate(([0], np.cumsum(change)))
         tree = Forest(np.stack(bits, axis=1).view(np.uint64), group)
-        if similarity is None:
-            label = stars(len(fp), tree.within(radius))
-            a = np.flatnonzero(label != np.arange(len(fp)))
-            b = label[a]
+        if similar:
+            label = stars(len(fp), found(tree, size, which), lambda a, b: sets.alike(a, b, loc, size, similar[0]))
         else:
-            a, b = forest(len(fp), alike(tree, size))
-        a, b = fp[a], fp[b]
+            label = stars(len(fp), tree.within(radius))
+        a = np.flatnonzero(label != np.arange(len(fp)))
+        a, b = fp[a], fp[label[a]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=LINKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        sets = Sets(similar[1]) if similar else None
         for b in batches:
-            held.append([b.column(n).to_numpy(zero_copy_only=False) for n in ("key", "tile", "which", "fp", *words, *(["size"] if similarity is not None else []))])
+            held.append([b.column(n).to_numpy(zero_copy_only=False) for n in ("key", "tile", "which", "fp", *words, *extra)])
             size += b.num_rows
             if size < ROWS:
                 continue
@@ -249,10 +292,10 @@ def _shard_links(radius: int, words: list[str], similarity: float | None):
             last = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield links(*[c[:cut] for c in cols])
+                yield links(sets, *[c[:cut] for c in cols])
             held, size = [[c[cut:] for c in cols]], len(cols[0]) - cut
         if size:
-            yield links(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            yield links(sets, *[np.concatenate(x) for x in zip(*held, strict=True)])
 
     return run
 
@@ -280,7 +323,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return _search(rows, radius, ["fp"])
 
 
-def _search(rows: DataFrame, radius: int, words: list[str], similarity: float | None = None) -> DataFrame:
+def _search(rows: DataFrame, radius: int, words: list[str], similar: tuple | None = None) -> DataFrame:
     """Links inside the shards (which, key) of rows. A shard over TILE becomes the pairs of its chunks."""
     large = materialize(rows.groupBy("which", "key").count().where(F.col("count") > TILE).select("which", "key", F.ceil(F.col("count") / (TILE / 2)).cast("int").alias("chunks")), "large-shards")
     if large.isEmpty():
@@ -291,7 +334,7 @@ def _search(rows: DataFrame, radius: int, words: list[str], similarity: float |
         pair = F.transform(others, lambda j: (F.least(j, F.col("mine")) * F.col("chunks") + F.greatest(j, F.col("mine"))).cast("long") + 1)
         rows = dealt.withColumn("tile", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pair))).drop("mine", "chunks")
     rows = rows.repartition("which", "key", "tile").sortWithinPartitions("which", "key", "tile", "fp")
-    return rows.select("which", "key", "tile", *dict.fromkeys(["fp", *words, *(["size"] if similarity is not None else [])])).mapInArrow(_shard_links(radius, words, similarity), spark_schema(LINKS)).distinct()
+    return rows.select("which", "key", "tile", *dict.fromkeys(["fp", *words, *(["size", "loc"] if similar else [])])).mapInArrow(_shard_links(radius, words, similar), spark_schema(LINKS)).distinct()
 
 
 def wide_plan(n: int, similarity: float) -> tuple[int, list[list[int]]]:
@@ -309,11 +352,12 @@ def wide_plan(n: int, similarity: float) -> tuple[int, list[list[int]]]:
     return radius, [sorted(rng.choice(bits, key, replace=False).tolist()) for _ in range(tables)]
 
 
-def wide_links(distinct: DataFrame, similarity: float) -> DataFrame:
-    """distinct: fp and its words, materialized."""
+def wide_links(distinct: DataFrame, similarity: float, folder: str) -> DataFrame:
+    """distinct: fp, its words, and size and place of its set in the folder, materialized."""
     radius, tables = wide_plan(distinct.count(), similarity)
     words = [f"w{k}" for k in range(WIDE)]
-    schema = pa.schema([("which", pa.int32()), ("key", pa.int64()), ("fp", pa.int64())] + [(w, pa.int64()) for w in words] + [("size", pa.int64())])
+    schema = pa.schema([("which", pa.int32()), ("key", pa.int64()), ("fp", pa.int64())] + [(w, pa.int64()) for w in words] + [("size", pa.int64()), ("loc", pa.int64())])
+    masks = np.array([[sum(1 << (x % 64) for x in bits if x // 64 == k) for k in range(WIDE)] for bits in tables], dtype=np.uint64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -322,9 +366,9 @@ def wide_links(distinct: DataFrame, similarity: float) -> DataFrame:
                 key = np.zeros(b.num_rows, dtype=np.int64)
                 for x in bits:
                     key = (key << 1) | ((cols[x // 64] >> (x % 64)) & 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, dtype=np.int32)), pa.array(key), b.column("fp"), *[b.column(w) for w in words], b.column("size")], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, dtype=np.int32)), pa.array(key), b.column("fp"), *[b.column(w) for w in (*words, "size", "loc")]], schema=schema)
 
-    return _search(distinct.select("fp", *words, "size").mapInArrow(deal, spark_schema(schema)), radius, words, similarity)
+    return _search(distinct.select("fp", *words, "size", "loc").mapInArrow(deal, spark_schema(schema)), radius, words, (similarity, folder, masks))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -352,53 +396,31 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (a hash of the wide fingerprint), component_id for each document row; links are Jaccard similarities of shingle sets of at least the given one."""
     small_batches(docs.sparkSession)
-
-    def rows(ids, texts):
-        wide, size = wide_simhash(texts, shingle)
-        fp = np.zeros(len(wide), dtype=np.uint64)
-        for k in range(WIDE):
-            fp = mix(fp * np.uint64(3) + wide[:, k])
-        return {"doc_id": ids, "fp": fp.view(np.int64), "size": size} | {f"w{k}": np.ascontiguousarray(wide[:, k]).view(np.int64) for k in range(WIDE)}
-
-    prints = materialize(id_text(docs, id_col, text_col).mapInArrow(by_slice(WIDE_PRINTS, rows), spark_schema(WIDE_PRINTS)), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in (*[f"w{k}" for k in range(WIDE)], "size")]), "distinct")
-    edges = materialize(wide_links(distinct, similarity), "candidates")
-    edges = verified(edges, distinct, id_text(docs, id_col, text_col), shingle, similarity)
+    folder = new_path(docs.sparkSession, "sets")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = filesystem(folder)
+        files.create_dir(path, recursive=True)
+        name, at = TaskContext.get().taskAttemptId(), 0  # of this attempt only: places of a failed one are never asked for
+        with files.open_output_stream(f"{path}/{name}") as out:
+            for ids, texts in slices(batches):
+                wide, sets = wide_simhash(texts, shingle)
+                fp = np.zeros(len(wide), dtype=np.uint64)
+                for k in range(WIDE):
+                    fp = mix(fp * np.uint64(3) + wide[:, k])
+                size = np.array([len(x) for x in sets], dtype=np.int64)
+                loc = (name << PLACE) + at + np.cumsum(size) - size
+                out.write(np.concatenate(sets).tobytes())
+                at += int(size.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fp.view(np.int64)), *[pa.array(np.ascontiguousarray(wide[:, k]).view(np.int64)) for k in range(WIDE)], pa.array(size), pa.array(loc)], schema=WIDE_PRINTS)
+
+    prints = materialize(id_text(docs, id_col, text_col).mapInArrow(rows, spark_schema(WIDE_PRINTS)), "fingerprints")
+    node = F.struct("loc", "size", *[f"w{k}" for k in range(WIDE)])  # of one text
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(node).alias("node")).select("fp", "least", "node.*"), "distinct")
+    edges = materialize(wide_links(distinct, similarity, folder), "links")
     return _grouped(prints.select("doc_id", "fp"), distinct.select("fp", "least"), edges)
 
 
-SETS = pa.schema([("fp", pa.int64()), ("hashes", pa.binary())])
-
-
-def verified(edges: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The edges whose texts, of the smallest ids, have that Jaccard similarity of shingles; without an id to find a text by, the estimate stands."""
-    nodes = materialize(edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct().join(distinct.select("fp", "least"), "fp"), "nodes")
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, n = shingle_hashes(b.column("text").cast(pa.binary()).to_pylist(), shingle)
-            sets = [np.unique(x.astype(np.uint32)).tobytes() for x in np.split(h, np.cumsum(n)[:-1])]
-            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(sets, pa.binary())], schema=SETS)
-
-    # the nodes grow with the documents: an exchange at every size
-    found = docs.join(nodes.hint("merge"), docs["doc_id"] == nodes["least"]).select("fp", "text")
-    sets = materialize(found.mapInArrow(hashes, spark_schema(SETS)).groupBy("fp").agg(F.min("hashes").alias("hashes")), "sets")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                if x is not None and y is not None:
-                    both = len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True))
-                    ok.append(both >= similarity * ((len(x) + len(y)) // 4 - both))
-                else:
-                    ok.append(True)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], schema=LINKS).filter(pa.array(ok, pa.bool_()))
-
-    pairs = edges.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a", "left").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b", "left")
-    return pairs.select("a", "b", "x", "y").mapInArrow(judge, spark_schema(LINKS))
-
-
 def _grouped(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
     label = components(edges)
     joined = distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))

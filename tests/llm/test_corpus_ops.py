@@ -163,6 +163,41 @@ def test_similar_documents_recall_and_precision(spark, monkeypatch):
         assert all(got[i] in (i, i - 1) for i in got)  # nothing but a text's own copy
 
 
+def test_twins_in_a_large_family_of_similar_texts(spark):
+    """3,000 edits of one text at 0.7 to each other, all candidates, do not hide 100 twins at 0.86 to their text."""
+    import random
+
+    rng = random.Random(12)
+    base = ["w%d" % k for k in range(400)]
+
+    def edited(words, slots, mark):
+        words = list(words)
+        for s in slots:  # each edit has five shingles of its own
+            words[5 * s + 2] = f"{mark}x{s}"
+        return words
+
+    slots = [rng.sample(range(80), 7) for _ in range(3000)]
+    texts = [edited(base, x, i) for i, x in enumerate(slots)]
+    twins = rng.sample(range(3000), 100)
+    texts += [edited(texts[i], [s for s in rng.sample(range(80), 20) if s not in slots[i]][:6], f"t{i}") for i in twins]
+    sh = lambda i: {tuple(texts[i][k : k + 5]) for k in range(396)}
+    jaccard = lambda i, j: len(sh(i) & sh(j)) / len(sh(i) | sh(j))
+    assert all(jaccard(i, 3000 + k) >= 0.85 for k, i in enumerate(twins)) and 0.68 < jaccard(0, 1) < 0.75
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    assert sum(got[3000 + k] == got[i] for k, i in enumerate(twins)) >= 99
+    where = np.zeros((3100, 80), dtype=int)
+    for i, t in enumerate(texts):
+        where[i, [s for s in range(80) if t[5 * s + 2] != base[5 * s + 2]]] = 1
+    want = list(range(3100))  # with fewer than four places in common, two edits are not similar
+    for i, j in sorted(map(tuple, np.argwhere(np.triu(where @ where.T >= 4, 1)))):
+        if want[i] != want[j] and jaccard(i, j) >= 0.8:
+            least, other = sorted((want[i], want[j]))
+            want = [least if x == other else x for x in want]
+    assert all(want[c] == want[i] for i, c in got.items())
+    assert sum(got[i] == w for i, w in enumerate(want)) >= 3095
+
+
 def test_near_duplicate_edges(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
     df = spark.createDataFrame([(None, None), (7, ""), (3, " \n"), (9, "a b c d e"), (9, "A  b c d e")], "doc_id long, text string").withColumn("fp", F.lit("clash"))
