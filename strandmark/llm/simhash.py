@@ -12,10 +12,10 @@ Linked fingerprints leave a shard as a star, and the stars are joined to compone
 minimum labels with pointer jumping, each round written to the shared folder.
 
 similar_documents finds similarities that differ in more bits than blocks can be equal in:
-fingerprints of 256 bits, linked below the distance that the similarity implies, are dealt
+fingerprints of 256 bits of the shingle sets, linked below the distance that the similarity implies, are dealt
 to tables of sampled bits, as many tables as find a pair of just that similarity, whose
 distance is binomial, with probability RECALL, and the same trees are built and searched in their shards. Each
-pair that a search finds is judged there on its shingle sets, in the first table that holds it, unless pairs judged
+pair of different sets that a search finds is judged there on its shingle sets, in the first table that holds it, unless pairs judged
 similar already connect it: only verified pairs unite. The sets lie in files of the shared folder and are read as pairs ask for them.
 
 Defined cases: a null, empty or blank text has fingerprint 0, linked like any other; fewer
@@ -102,11 +102,14 @@ def simhash(texts: list, shingle: int = SHINGLE) -> np.ndarray:
     return majority(*shingle_hashes(texts, shingle))
 
 
-def wide_simhash(texts: list, shingle: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Fingerprints of WIDE words, each from another mix of the same hashes; and the sets of shingles, as 32 bits of the hashes."""
+def wide_simhash(texts: list, shingle: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """From each text's set of shingles, repeats left out: a hash of the set; a fingerprint of WIDE words, each from another mix of the hashes; and 32 bits of each."""
     hashes, n = shingle_hashes(texts, shingle)
+    full = [np.unique(h) for h in np.split(hashes, np.cumsum(n)[:-1])] if len(n) else []
+    hashes, n = np.concatenate([np.empty(0, dtype=np.uint64), *full]), np.array([len(h) for h in full], dtype=np.int64)
     wide = np.stack([majority(hashes if k == 0 else mix(hashes + np.uint64(k)), n) for k in range(WIDE)], axis=1)
-    return wide, [np.unique(h.astype(np.uint32)) for h in np.split(hashes, np.cumsum(n)[:-1])] if len(n) else []
+    fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in full], dtype=np.uint64)
+    return fp, wide, [np.unique(h.astype(np.uint32)) for h in full]
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -394,7 +397,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (a hash of the wide fingerprint), component_id for each document row; links are Jaccard similarities of shingle sets of at least the given one."""
+    """doc_id, fp (a hash of the set of shingles), component_id for each document row; links are Jaccard similarities of shingle sets of at least the given one."""
     small_batches(docs.sparkSession)
     folder = new_path(docs.sparkSession, "sets")
 
@@ -404,10 +407,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         name, at = TaskContext.get().taskAttemptId(), 0  # of this attempt only: places of a failed one are never asked for
         with files.open_output_stream(f"{path}/{name}") as out:
             for ids, texts in slices(batches):
-                wide, sets = wide_simhash(texts, shingle)
-                fp = np.zeros(len(wide), dtype=np.uint64)
-                for k in range(WIDE):
-                    fp = mix(fp * np.uint64(3) + wide[:, k])
+                fp, wide, sets = wide_simhash(texts, shingle)
                 size = np.array([len(x) for x in sets], dtype=np.int64)
                 loc = (name << PLACE) + at + np.cumsum(size) - size
                 out.write(np.concatenate(sets).tobytes())
@@ -415,8 +415,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fp.view(np.int64)), *[pa.array(np.ascontiguousarray(wide[:, k]).view(np.int64)) for k in range(WIDE)], pa.array(size), pa.array(loc)], schema=WIDE_PRINTS)
 
     prints = materialize(id_text(docs, id_col, text_col).mapInArrow(rows, spark_schema(WIDE_PRINTS)), "fingerprints")
-    node = F.struct("loc", "size", *[f"w{k}" for k in range(WIDE)])  # of one text
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(node).alias("node")).select("fp", "least", "node.*"), "distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in (*[f"w{k}" for k in range(WIDE)], "size", "loc")]), "distinct")
     edges = materialize(wide_links(distinct, similarity, folder), "links")
     return _grouped(prints.select("doc_id", "fp"), distinct.select("fp", "least"), edges)
 

@@ -198,6 +198,17 @@ def test_twins_in_a_large_family_of_similar_texts(spark):
     assert sum(got[i] == w for i, w in enumerate(want)) >= 3095
 
 
+def test_similar_documents_with_a_dominant_shingle(spark):
+    """One repeated shingle neither unites texts whose other words differ nor parts texts whose sets are similar."""
+    words = lambda mark, n: [f"{mark}{k}" for k in range(n)]
+    some, more = words("a", 104), words("b", 10)
+    texts = [["-"] * 200 + words("x", 40), ["-"] * 200 + words("y", 40), words("z", 30) + ["0"] * 100, words("v", 30) + ["0"] * 100]
+    texts += [some, some + more * 30]  # 100 shingles against the same, 14 at the joints and in the line that repeats, and it 30 times
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
+
+
 def test_near_duplicate_edges(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
     df = spark.createDataFrame([(None, None), (7, ""), (3, " \n"), (9, "a b c d e"), (9, "A  b c d e")], "doc_id long, text string").withColumn("fp", F.lit("clash"))
