@@ -3,7 +3,8 @@
 An Aho-Corasick automaton over the lower-cased bytes finds rule keywords in one pass;
 a rule's regular expression is then tried only as an anchored match where its keyword
 begins. Rules with an embedded checksum or structure are validated before they count.
-Bare hex runs have no keyword: they are found as runs of hex bytes.
+Bare hex runs have no keyword: they are found as runs of hex bytes. A private key reaches
+from its BEGIN line to its END line, whatever lies between (headers, escaped newlines).
 
 Defined cases: a null text is empty and has no spans; a null doc_id is kept as null;
 repeated rows give one row each; spans that start together sort by the order of KINDS.
@@ -36,7 +37,7 @@ GITHUB = re.compile(rb"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 NPM = re.compile(rb"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
 JWT_RUN = re.compile(rb"[A-Za-z0-9_-]+")
-PEM = re.compile(rb"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END \1PRIVATE KEY-----")
+PEM = re.compile(rb"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----")
 SLACK = re.compile(rb"xox[abprs]-[0-9]{6,}-[A-Za-z0-9-]{10,}")
 DIGITS62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -85,15 +86,37 @@ def automaton():
     return _AUTOMATON
 
 
+def _pem_end(text: bytes, begin: re.Match, ends: dict) -> int:
+    """End of a key: its END line, with anything but another BEGIN line of its label before it; 0 if there is none.
+
+    ends: where the last search for each line ended, so that many BEGIN lines without END search the text once.
+    """
+
+    def after(line):
+        if line not in ends or ends[line] < begin.end():
+            at = text.find(line, begin.end())
+            ends[line] = at if at >= 0 else len(text)
+        return ends[line]
+
+    last = b"-----END " + begin[1] + b"-----"
+    at = after(last)
+    return at + len(last) if begin.end() < at < min(after(begin[0]), len(text)) else 0
+
+
 def scan(text: bytes) -> list[tuple[int, str, int]]:
     """(start, kind, end) in bytes, sorted by start and then by the order of KINDS."""
     found, free = [], dict.fromkeys(RULES, 0)
+    ends: dict = {}
     for last, (kind, n) in automaton().iter(text.lower().decode("latin-1")):
         at = last - n + 1
         if at < free[kind]:
             continue
         _, pattern, counts = RULES[kind]
-        if m := pattern.match(text, at):
+        if kind == "pem":
+            if (m := pattern.match(text, at)) and (end := _pem_end(text, m, ends)):
+                free[kind] = end
+                found.append((at, KINDS.index(kind), end))
+        elif m := pattern.match(text, at):
             free[kind] = m.end()
             if counts(m):
                 found.append((at, KINDS.index(kind), m.end()))

@@ -159,3 +159,14 @@ def test_language_id_held_out_accuracy(spark, tmp_path):
     got = langid.op4_language_id(spark, str(tmp_path)).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     assert all(r.lang_pred == lang[r.doc_id] for r in got)
+
+
+def test_private_keys_with_headers_and_escaped_newlines():
+    begin, end = b"-----BEGIN RSA PRIVATE KEY-----", b"-----END RSA PRIVATE KEY-----"
+    bodies = [b"\nMIIE+/=\n", b"\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A-1B\n\nMIIE\n", b"\\nMIIE\\nabc\\n"]
+    for body in bodies:
+        assert secrets.redact(b"a " + begin + body + end + b" z") == b"a [pem removed] z"
+    assert secrets.redact(begin + b" lost, then " + begin + bodies[1] + end) == begin + b" lost, then [pem removed]"
+    for text in (begin + bodies[0], begin + bodies[0] + end.replace(b"RSA ", b""), begin + end, end + begin):
+        assert secrets.redact(text) == text
+    assert not secrets.scan((begin + b"\n") * 20_000)
