@@ -1,8 +1,8 @@
 """A training-data pipeline over documents: STAGES in order, each written as Parquet and reread as the next one's docs.
 
-Rows without id are judged like others: decontamination addresses a row by a hash of its id and
-text; near-duplicate groups, which keep their document of the smallest id, take an id as one
-document and make one from the text of a row without.
+Rows without id are judged like others: decontamination and near-duplicate groups address a row by
+a hash of its id and text; groups, which keep their row of the smallest id, make an id from the text
+of a row without.
 """
 
 from __future__ import annotations
@@ -34,9 +34,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each group; repeated rows of an id and text are one. A row without id takes one from its text, larger than any other."""
     number = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(LARGE - 1) + F.lit(LARGE))
-    found = materialize(similar_documents(docs.select(number.alias("doc_id"), "text"), SHINGLE, SIMILARITY), "groups")
-    gone = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct(), "removed")
-    kept = docs.join(gone, number == F.col("__id"), "left_anti")
+    key = F.xxhash64(number, "text")
+    found = materialize(similar_documents(docs.select(key.alias("doc_id"), "text"), SHINGLE, SIMILARITY), "groups")
+    numbers = docs.select(key.alias("doc_id"), number.alias("number")).distinct()
+    named = materialize(found.join(numbers, "doc_id").select("doc_id", "component_id", "number"), "numbered")
+    first = named.groupBy("component_id").agg(F.min(F.struct("number", "doc_id")).alias("first"))
+    gone = named.join(first, "component_id").where(F.col("doc_id") != F.col("first.doc_id")).select(F.col("doc_id").alias("__id"))
+    kept = docs.join(materialize(gone.distinct(), "removed"), key == F.col("__id"), "left_anti")
     again = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 

@@ -59,3 +59,11 @@ def test_near_dedup_of_rows_without_id(spark, tmp_path):
     kept = corpus_pipeline.simhash_near_dedup(spark, docs, str(tmp_path)).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept if r.text not in (b, b + " end")) == sorted([(1, a), (0, c), (2, "")])
     assert sum(r.text in (b, b + " end") for r in kept) == 1
+
+
+def test_near_dedup_of_an_id_with_two_texts(spark, tmp_path):
+    rng = random.Random(10)
+    a, b = (prose(rng, 60) for _ in range(2))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in [(1, a), (5, a + " end"), (5, b), (6, b + " end")]], SCHEMA)
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (5, b)]
