@@ -135,7 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "volcano_raster": lambda s, d: qc.volcano_raster(_rounded(_diff(s, d))),
     "significant_rows": lambda s, d: workflow.significant_rows(_windows(s, d), _rounded(_diff(s, d))),
     "sample_pca": _pca,
-    "kde_grid": lambda s, d: qc.kde_grid(_diff(s, d), n=50),
+    "kde_grid": lambda s, d: qc.kde_grid(_diff(s, d)),
     "sample_rows": lambda s, d: qc.sample_rows(summarize.positions(good(s, d)), 100),
 }
 

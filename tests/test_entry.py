@@ -36,3 +36,7 @@ def test_query(spark, name):
     cols = sorted(want.columns)
     assert cols == sorted(got.columns)
     assert cells(rows, cols) == cells([dict(zip(want.columns, r, strict=True)) for r in want.fetchall()], cols)
+
+
+def test_kde_grid_is_whole(spark):
+    assert QUERIES["kde_grid"](spark, DATA).count() == 250 * 250
