@@ -14,7 +14,8 @@ minimum labels with pointer jumping, each round written to the shared folder.
 similar_documents finds similarities that differ in more bits than blocks can be equal in:
 fingerprints of 256 bits of the shingle sets, linked below the distance that the similarity implies, are dealt
 to tables of sampled bits, as many tables as find a pair of just that similarity, whose
-distance is binomial, with probability RECALL, and the same trees are built and searched in their shards. Each
+distance is binomial, with probability RECALL (texts of about 4 distinct shingles less, as ties of even counts go to 0:
+README), and the same trees are built and searched in their shards. Each
 pair of different sets that a search finds is judged there on its shingle sets, in the first table that holds it, unless pairs judged
 similar already connect it: only verified pairs unite. The sets lie in files of the shared folder and are read as pairs ask for them.
 
