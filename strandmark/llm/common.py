@@ -10,12 +10,15 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import paths
+
 #: bytes of text handled at once inside a task; one longer document forms a slice alone
 SLICE_BYTES = 2_000_000
 
@@ -28,16 +31,39 @@ WS[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (local runs only) a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, it becomes a temporary folder if driver and executor are one process, and is an error otherwise."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         root = "file://" + tempfile.mkdtemp(prefix="strandmark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: paths made inside each open scratch()
+_SCOPES: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for scope in _SCOPES:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at a successful end, the intermediate tables and files made inside; what is lazily read from them must be written by then."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+    for path in made:
+        paths.delete(spark, path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -82,10 +108,22 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def small_batches(spark: SparkSession, size: int = 16 << 20, rows: int = 2000) -> None:
-    """Bound the bytes and rows of an Arrow batch that goes to Python (documents and packed rows have up to many MB each)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def free(name: str, *taken: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    used = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
+#: bounds of an Arrow batch that goes to Python (documents and packed rows have up to many MB each): one value for all operators, so that a plan's batches do not depend on which ran last
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for k, v in BATCH.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
 
 
 def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[list, list]]:
@@ -106,6 +144,12 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
         yield ids, texts
 
 
+def spark_schema(schema: pa.Schema):
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    return from_arrow_schema(schema)
+
+
 def by_slice(schema: pa.Schema, fn: Callable[[list, list], dict], limit: int = SLICE_BYTES) -> Callable:
     """mapInArrow body: fn gives the columns of a slice's result rows."""
 
@@ -140,11 +184,7 @@ def counts_in(starts: np.ndarray, ends: np.ndarray, points: np.ndarray) -> np.nd
 
 # ------------------------------------------------------------------ hashing
 
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POW = np.ones(1, dtype=np.uint64)
-_INV = np.ones(1, dtype=np.uint64)
+_RNG = np.random.default_rng(20240229)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -156,26 +196,73 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+PRIME = (1 << 31) - 1
+
+
+def reduce(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, a Mersenne prime: its digits to the base 2^31 are added up."""
+    p, s = np.uint64(PRIME), np.uint64(31)
+    x = (x & p) + (x >> s)
+    x = (x & p) + (x >> s)
+    return np.where(x >= p, x - p, x)
+
+
+class Powers:
+    """Powers of a base and of its inverse modulo 2^64, or modulo PRIME, as many as were asked for so far."""
+
+    def __init__(self, base: int, modulus: int = 1 << 64):
+        self.modulus, self.bases = modulus, (base, pow(base, -1, modulus))
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def grow(self, n: int) -> None:
+        while len(self.up) <= n:
+            more = [t * np.uint64(pow(base, len(t), self.modulus)) for t, base in zip((self.up, self.down), self.bases, strict=True)]
+            self.up, self.down = (np.concatenate((t, reduce(x) if self.modulus == PRIME else x)) for t, x in zip((self.up, self.down), more, strict=True))
+
+
 class Rolling:
-    """Polynomial hashes modulo 2^64 of any spans of a buffer, from one prefix sum."""
+    """Hashes of any spans of a buffer, from prefix sums of polynomials modulo 2^31 - 1 in two lanes of different bases: 62 bits.
+
+    Unlike a modulus of 2^64, a prime has no strings (such as Thue-Morse words) that collide whatever the base. Buffers of up to 2^32 bytes.
+    """
+
+    def __init__(self, buf: np.ndarray):
+        self.sums = []
+        for powers, values in _LANES:
+            powers.grow(len(buf))
+            sums = np.zeros(len(buf) + 1, dtype=np.uint64)
+            np.cumsum(reduce(values[buf] * powers.up[: len(buf)]), out=sums[1:])
+            self.sums.append(sums)
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        a, b = (reduce(reduce(s[ends] - s[starts]) * p.down[starts]) for s, (p, _) in zip(self.sums, _LANES, strict=True))
+        return mix(((a << np.uint64(31)) | b) ^ mix((ends - starts).astype(np.uint64)))
+
+
+_LANES = [(Powers(int(_RNG.integers(1 << 20, PRIME)), PRIME), _RNG.integers(1, PRIME, 256, dtype=np.uint64)) for _ in range(2)]
+
+
+class Quick:
+    """Rolling modulo 2^64: half the work, for hashes that only propose what bytes then decide."""
+
+    POWERS = Powers(0x9E3779B97F4A7C15)
+    BYTES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def __init__(self, buf: np.ndarray):
-        global _POW, _INV
-        if len(_POW) <= len(buf):
-            n = len(buf) + 1
-            _POW = np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, _BASE, dtype=np.uint64))))
-            _INV = np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, _BASE_INV, dtype=np.uint64))))
+        self.POWERS.grow(len(buf))
         self.sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(_BYTES[buf] * _POW[: len(buf)], out=self.sums[1:])
+        np.cumsum(self.BYTES[buf] * self.POWERS.up[: len(buf)], out=self.sums[1:])
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * _INV[starts] + (ends - starts).astype(np.uint64))
+        return mix((self.sums[ends] - self.sums[starts]) * self.POWERS.down[starts] + (ends - starts).astype(np.uint64))
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Index in the sorted unique keys of each wanted value, -1 where absent: a direct-address probe, binary search for its collisions."""
     if not len(keys):
         return np.full(len(wanted), -1, dtype=np.int64)
+    if not len(wanted):
+        return np.empty(0, dtype=np.int64)
     bits = max(8, int(4 * len(keys)).bit_length())
     shift, odd = np.uint64(64 - bits), np.uint64(0x9E3779B97F4A7C15)
     table = np.zeros(1 << bits, dtype=np.int32)

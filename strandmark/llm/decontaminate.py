@@ -24,8 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, counts_in, find, id_text, joined, materialize, path_of, read_blocks, runs, slices, small_batches
-from .quality import spark_schema
+from .common import Rolling, counts_in, find, id_text, joined, materialize, path_of, read_blocks, runs, slices, small_batches, spark_schema
 
 #: words in a window
 WINDOW = 10

@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import runs, small_batches
-from .quality import spark_schema
+from .common import runs, small_batches, spark_schema
 
 SIZES = (1, 2, 3)
 #: n-grams in a profile

@@ -6,46 +6,49 @@ recursion Pw = (Pe + product of the children's Pw) / 2 gives each node its weigh
 predictive probability mixes the estimates of all depths. Pe depends on counts alone, so the
 model of the whole training corpus follows from its (DEPTH + 1)-gram counts in any order.
 
-Grams and words are counted over all training texts: segments send their distinct keys to
-hash buckets as packed arrays. Distinct grams are regrouped by their two latest context bytes
-for the recursion at depth 2 and more; depths 0 and 1 need 256 x 255 nodes. Log-probabilities
-and word counts go back to the segments that asked, so neither vocabulary nor model is ever
-broadcast or collected, and a hot word or gram costs one entry a segment.
-
-Words are keyed by 64-bit hashes. A text starts in a context of 0xFF bytes and ends with
+Grams and words are counted over all training texts: segments send their distinct keys up a tree
+of bounded fan (segments.py). Grams are dealt by their LOW latest context bytes, so that a node of
+its last level holds whole contexts: 2^(8 (DEPTH - LOW + 1)) grams of one at most. It runs the
+recursion down to depth LOW; depth 2 is summed from all nodes by an aggregation, depths 0 and 1
+from it (at most 255 x 256 rows reach the driver), and the mixtures of depth 2 go back to the
+nodes that hold their contexts. Log-probabilities and word counts go down the tree to the segments
+that asked, so neither vocabulary nor model is ever broadcast or collected, and a hot word or gram
+costs one entry a segment.
+
+Words are keyed by 62-bit hashes. A text starts in a context of 0xFF bytes and ends with
 0xFF, which UTF-8 never holds, so probabilities sum to one over all texts.
 
 Defined cases: null and empty texts are one end token; a null id hashes as the empty string;
 without training rows every count is 0 and the model is uniform; repeated rows count as often
-as they occur and score alike.
+as they occur and score alike; an empty table gives no rows; a text of any length is scored whole,
+one over some MB in a segment of its own; other columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, Rolling, counts_in, find, materialize, mix, runs
+from .common import WS, Rolling, counts_in, find, materialize, mix, runs, spark_schema
 from .decontaminate import LOWER
-from .quality import spark_schema
-from .segments import as_table, bucket_count, by_bucket, map_rows, pack, pack_ints, pack_sorted, segments, unpack, unpack_ints, unpack_sorted
+from .segments import ANSWERS, COUNTED, NODE, SUMMED, Tree, as_table, climb, counts_again, descend, first_row, map_rows, pack, pack_ints, pack_sorted, segments, sum_counts, unpack, unpack_ints, unpack_sorted
 
 #: bytes of context; the keys of grams have DEPTH + 1 bytes
 DEPTH = 5
+#: bytes of context that decide which node holds a gram
+LOW = 3
 END = 0xFF
 WORDS, GRAMS = 0, 1
 
-COUNTED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("seg", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-SUMMED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("segs", pa.list_(pa.int64())), ("asked", pa.list_(pa.binary()))])
-GROUPED = pa.schema([("context", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-WEIGHTS = pa.schema([("context", pa.int64()), ("weights", pa.binary()), ("symbols", pa.binary())])
-PRICES = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("logs", pa.binary())])
-#: counts of words, or float32 log10 probabilities of grams, in the order in which the segment asked the bucket
-ANSWERS = pa.schema([("seg", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("values", pa.binary())])
+#: nodes of depth 2 (context and prefix of a symbol's bits), as far as the contexts of one node of the exchange say: counts of zeros and ones, sum of the log weights below
+SLOTS = pa.schema([("node", pa.int64()), ("slot", pa.int64()), ("n0", pa.float64()), ("n1", pa.float64()), ("below", pa.float64())])
+#: the same over all: log weight, share of the own estimate in the mixture, own estimate of a one
+PAIRS = pa.schema([("slot", pa.int64()), ("n0", pa.float64()), ("n1", pa.float64()), ("weight", pa.float64()), ("beta", pa.float64()), ("one", pa.float64())])
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
 
@@ -56,12 +59,6 @@ def held_out(doc_id: int | None) -> bool:
 # ------------------------------------------------------------------ keys of a segment
 
 
-def load(row: dict) -> tuple[list[bytes], np.ndarray]:
-    text, lens = unpack(row["text"]), unpack(row["lens"], np.int64)
-    ends = np.cumsum(lens).tolist()
-    return [text[e - n : e] for e, n in zip(ends, lens.tolist(), strict=True)], lens
-
-
 def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words in order, and their number in each text."""
     buf = LOWER[np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)]
@@ -100,31 +97,29 @@ def distinct_counts(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np
     return s, count
 
 
-def _count(buckets: int, depth: int):
+def hash_of(kind: int, keys: np.ndarray) -> np.ndarray:
+    """What decides a key's way up the tree: all of a word, the LOW latest context bytes of a gram."""
+    return mix(keys if kind == WORDS else (keys >> np.uint64(8)) & np.uint64((1 << (8 * LOW)) - 1))
+
+
+def codec(kind: int) -> tuple:
+    """Counts of words, float32 log10 probabilities of grams."""
+    return (np.int64, pack_ints, unpack_ints) if kind == WORDS else (np.float32, pack, lambda b: unpack(b, np.float32))
+
+
+def _count(load, tree: Tree, depth: int):
     def fn(row: dict) -> list[list]:
         texts, _ = load(row)
         train = np.array([not held_out(i) for i in row["doc_ids"]])
         out = []
         for kind, (keys, n) in ((WORDS, word_keys(texts)), (GRAMS, gram_keys(texts, depth))):
             keys, count = distinct_counts(keys, np.repeat(train, n))
-            out += [[kind, b, row["seg"], pack_sorted(keys[at]), pack(count[at].astype(np.uint32))] for b, at in by_bucket(keys, mix(keys), buckets)]
+            out += [[kind, d, tree.group_of(row["seg"], 0), row["seg"], pack_sorted(keys[at]), pack_ints(count[at])] for d, at in tree.deal(hash_of(kind, keys), 0)]
         return out
 
     return fn
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    """One bucket: total counts of its distinct keys, and which of them each segment asked for."""
-    asked = [unpack_sorted(x.as_py()) for x in table["keys"]]
-    every = np.concatenate(asked)
-    keys = np.unique(every)
-    at = find(keys, every)
-    counts = np.bincount(at, weights=np.concatenate([unpack(x.as_py(), np.uint32) for x in table["counts"]]), minlength=len(keys)).astype(np.int64)
-    cut = np.cumsum([len(a) for a in asked])[:-1]
-    row = [table["kind"][0].as_py(), table["bucket"][0].as_py(), int(counts.sum()), int((counts > 0).sum()), pack_sorted(keys), pack(counts), table["seg"].to_pylist(), [pack(x.astype(np.int32)) for x in np.split(at, cut)]]
-    return as_table([row], SUMMED)
-
-
 # ------------------------------------------------------------------ context trees
 
 
@@ -140,8 +135,8 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return lgamma(n0 + 0.5) + lgamma(n1 + 0.5) - lgamma(n0 + n1 + 1.0) - np.log(np.pi)
 
 
-class Tree:
-    """Nodes of the contexts of one group at depths low..depth. A node is a context and a prefix of a symbol's bits."""
+class Contexts:
+    """Nodes of some contexts at depths low..depth. A node is a context and a prefix of a symbol's bits."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, low: int):
         self.depth, self.low, self.keys = depth, low, keys
@@ -187,49 +182,42 @@ class Tree:
         return p
 
 
-def _regroup(row: dict) -> list[list]:
-    keys, counts = unpack_sorted(row["keys"]), unpack(row["counts"], np.int64)
-    context = (keys >> np.uint64(8)) & np.uint64(0xFFFF)
-    order = np.argsort(context, kind="stable")
-    cut = np.flatnonzero(np.diff(context[order])) + 1
-    return [[int(context[at[0]]), row["bucket"], pack_sorted(keys[at]), pack(counts[at])] for at in np.split(order, cut) if len(at)]
+def _slots(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, keys, counts in zip(*(b.column(n).to_pylist() for n in ("node", "keys", "counts")), strict=True):
+                tree = Contexts(unpack_sorted(keys), unpack_ints(counts), depth, LOW)
+                up = pair_slot(tree.nodes[LOW] >> np.uint64(8), tree.nodes[LOW] & np.uint64(0xFF))
+                slot, at = np.unique(up, return_inverse=True)
+                sums = [np.bincount(at, weights=w, minlength=len(slot)) for w in (*tree.sizes[LOW], tree.weight[LOW])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), node)), pa.array(slot.astype(np.int64)), *map(pa.array, sums)], schema=SLOTS)
 
+    return run
 
-def _group(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    parts = [unpack_sorted(x.as_py()) for x in table["keys"]]
-    return parts, np.concatenate(parts), np.concatenate([unpack(x.as_py(), np.int64) for x in table["counts"]])
 
+def pair_slot(context: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """The node of depth 2 above a context."""
+    return ((context & np.uint64(0xFFFF)) << np.uint64(8)) | prefix
 
-def _weigh(depth: int):
-    def fn(table: pa.Table) -> pa.Table:
-        _, keys, counts = _group(table)
-        tree = Tree(keys, counts, depth, 2)
-        weights = np.zeros(256)
-        weights[(tree.nodes[2] & np.uint64(0xFF)).astype(np.int64)] = tree.weight[2]
-        symbols = np.bincount((keys & np.uint64(0xFF)).astype(np.int64), weights=counts, minlength=256)
-        return as_table([[table["context"][0].as_py(), weights.tobytes(), symbols.tobytes()]], WEIGHTS)
 
-    return fn
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        slot, n0, n1, below = (b.column(n).to_numpy(zero_copy_only=False) for n in ("slot", "n0", "n1", "below"))
+        own = log_kt(n0, n1)
+        weight = np.logaddexp(own, below) - np.log(2)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (slot, n0, n1, weight, np.exp(own - np.log(2) - weight), (n1 + 0.5) / (n0 + n1 + 1))], schema=PAIRS)
 
 
 def top_levels(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """From the depth-2 weights (at most 65,536 rows): add[latest byte, prefix, bit] and scale[latest byte, prefix], so that the probability of a bit is add + scale x its probability below."""
-    symbols, below = np.zeros((256, 256)), np.zeros((256, 256))
+    """From sums of depth 2 by latest byte and prefix (at most 256 x 255 rows): add[latest byte, prefix, bit] and scale[latest byte, prefix], so that the probability of a bit is add + scale x its probability at depth 2."""
+    n1, below = np.zeros((2, 256, 256)), np.zeros((256, 256))
     for r in rows:
-        symbols[r["context"] & 0xFF] += np.frombuffer(r["symbols"])
-        below[r["context"] & 0xFF] += np.frombuffer(r["weights"])
-
-    def sizes(counts):
-        out = np.zeros((2, *counts.shape))
-        for s in range(256):
-            for b in range(8):
-                out[(s >> (7 - b)) & 1, ..., (1 << b) | (s >> (8 - b))] += counts[..., s]
-        return out
-
-    n1 = sizes(symbols)
+        at = divmod(r["slot"], 256)
+        n1[:, at[0], at[1]] = r["n0"], r["n1"]
+        below[at] = r["weight"]
     own1 = log_kt(*n1)
     weight1 = np.logaddexp(own1, below) - np.log(2)
-    n0 = sizes(symbols.sum(axis=0))
+    n0 = n1.sum(axis=1)
     own0 = log_kt(*n0)
     beta0 = np.exp(own0 - np.logaddexp(own0, weight1.sum(axis=0)))
     beta1 = np.exp(own1 - np.logaddexp(own1, below))
@@ -238,89 +226,87 @@ def top_levels(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return np.moveaxis(add, 0, -1), (1 - beta0) * (1 - beta1)
 
 
-def _price(depth: int, add: np.ndarray, scale: np.ndarray):
-    def fn(table: pa.Table) -> pa.Table:
-        parts, keys, counts = _group(table)
-        tree = Tree(keys, counts, depth, 2)
+def _price(tree: Tree, depth: int, add: np.ndarray, scale: np.ndarray):
+    """A node's answers: the log-probability of each of its grams. right: the mixtures of depth 2 over its contexts."""
+
+    def fn(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = first_row(left)
+        keys = unpack_sorted(row["keys"])
+        contexts = Contexts(keys, unpack_ints(row["counts"]), depth, LOW)
+        slots = right["slot"].to_numpy()
+        order = np.argsort(slots)
+        slots, beta, one = slots[order].astype(np.uint64), right["beta"].to_numpy()[order], right["one"].to_numpy()[order]
         symbol = (keys & np.uint64(0xFF)).astype(np.int64)
         latest = ((keys >> np.uint64(8)) & np.uint64(0xFF)).astype(np.int64)
         logs = np.zeros(len(keys))
         for b in range(8):
             prefix, bit = (1 << b) | (symbol >> (8 - b)), (symbol >> (7 - b)) & 1
-            logs += np.log10(add[latest, prefix, bit] + scale[latest, prefix] * tree.bit_probabilities(b))
-        cut = np.cumsum([len(p) for p in parts])[:-1]
-        return as_table([[b, pack_sorted(k), x.tobytes()] for b, k, x in zip(table["bucket"].to_pylist(), parts, np.split(logs, cut), strict=True)], PRICES)
+            at = np.searchsorted(slots, pair_slot(keys >> np.uint64(8), prefix.astype(np.uint64)))
+            p = beta[at] * np.where(bit == 1, one[at], 1 - one[at]) + (1 - beta[at]) * contexts.bit_probabilities(b)
+            logs += np.log10(add[latest, prefix, bit] + scale[latest, prefix] * p)
+        return as_table(tree.down(row, logs.astype(np.float32), codec(GRAMS)[1]), ANSWERS)
 
     return fn
 
 
-def _answer_words(row: dict) -> list[list]:
-    counts = unpack(row["counts"], np.int64)
-    return [[s, WORDS, row["bucket"], pack_ints(counts[unpack(at, np.int32)])] for s, at in zip(row["segs"], row["asked"], strict=True)]
-
-
-def _answer_grams(left: pa.Table, right: pa.Table) -> pa.Table:
-    out = []
-    if left.num_rows:
-        priced = np.concatenate([unpack_sorted(x.as_py()) for x in right["keys"]])
-        logs = np.concatenate([np.frombuffer(x.as_py()) for x in right["logs"]])[np.argsort(priced)].astype(np.float32)
-        out = [[s, GRAMS, left["bucket"][0].as_py(), pack(logs[unpack(at, np.int32)])] for s, at in zip(left["segs"][0].as_py(), left["asked"][0].as_py(), strict=True)]
-    return as_table(out, ANSWERS)
+def _answer_words(tree: Tree):
+    return lambda row: tree.down(row, unpack_ints(row["counts"]), codec(WORDS)[1])
 
 
-def _score(depth: int, buckets: int, n: int, v: int, ends: int):
+def _score(load, tree: Tree, depth: int, n: int, v: int, ends: int):
     base = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
 
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        told = {(k, b): i for i, (k, b) in enumerate(zip(right["kind"].to_pylist(), right["bucket"].to_pylist(), strict=True))}
+        row = first_row(left)
+        told = dict(zip(zip(right["kind"].to_pylist(), right["digit"].to_pylist(), strict=True), right["values"].to_pylist(), strict=True))
 
         def answers(kind, keys):
-            """What the buckets say of each key."""
+            """What the tree says of each key."""
             asked, _ = distinct_counts(keys, np.zeros(len(keys), dtype=bool))
-            out = np.empty(len(asked), dtype=np.int64 if kind == WORDS else np.float64)
-            for b, at in by_bucket(asked, mix(asked), buckets):
-                packed = right["values"][told[kind, b]].as_py()
-                out[at] = unpack_ints(packed) if kind == WORDS else unpack(packed, np.float32)
+            dtype, _, decode = codec(kind)
+            out = np.empty(len(asked), dtype=dtype)
+            for d, at in tree.deal(hash_of(kind, asked), 0):
+                out[at] = decode(told[kind, d])
             return out[find(asked, keys)]
 
-        for i in range(left.num_rows):
-            row = {name: left[name][i].as_py() for name in left.column_names}
-            texts, lens = load(row)
-            doc = lambda m: np.repeat(np.arange(len(texts)), m)
-            total = lambda x, m: np.bincount(doc(m), weights=x, minlength=len(texts))
-            words, m = word_keys(texts)
-            c = answers(WORDS, words)
-            known, score = total(c > 0, m) + (ends > 0), total(base(c), m) + base(ends)
-            grams, g = gram_keys(texts, depth)
-            logs = total(answers(GRAMS, grams), g)
-            bits = -logs * np.log2(10) / np.maximum(lens, 1)
-            rows += [list(x) for x in zip(row["doc_ids"], [held_out(i) for i in row["doc_ids"]], (m + 1).tolist(), known.astype(np.int64).tolist(), [n] * len(texts), score.tolist(), logs.tolist(), bits.tolist(), strict=True)]
-        return as_table(rows, SCORES)
+        texts, lens = load(row)
+        total = lambda x, m: np.bincount(np.repeat(np.arange(len(texts)), m), weights=x, minlength=len(texts))
+        words, m = word_keys(texts)
+        c = answers(WORDS, words)
+        known, score = total(c > 0, m) + (ends > 0), total(base(c), m) + base(ends)
+        grams, g = gram_keys(texts, depth)
+        logs = total(answers(GRAMS, grams), g)
+        bits = -logs * np.log2(10) / np.maximum(lens, 1)
+        rows = zip(row["doc_ids"], [held_out(i) for i in row["doc_ids"]], (m + 1).tolist(), known.astype(np.int64).tolist(), [n] * len(texts), score.tolist(), logs.tolist(), bits.tolist(), strict=True)
+        return as_table([list(x) for x in rows], SCORES)
 
     return fn
 
 
 def ctw_scores(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of all documents under the models learned from the rows that held_out() leaves for training. depth: 2 to 7."""
-    if not 2 <= depth <= 7:
-        raise ValueError("depth must be 2 to 7")
+    """Scores of all documents under the models learned from the rows that held_out() leaves for training. depth: 3 to 7; with more than 5, a node's grams are bounded by the training texts alone."""
+    if not LOW <= depth <= 7:
+        raise ValueError(f"depth must be {LOW} to 7")
     segs = segments(docs, id_col, text_col)
-    buckets = bucket_count(segs)
-    counted = map_rows(segs.select("seg", "doc_ids", "lens", "text"), COUNTED, _count(buckets, depth))
-    summed = materialize(counted.groupBy("kind", "bucket").applyInArrow(_sum, spark_schema(SUMMED)), "counts")
-    totals = summed.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("known")).first()
+    tree, load = Tree(segs.size, segs.count), segs.loader()
+    counted = segs.map(COUNTED, _count(load, tree, depth))
+    nodes, last = climb(counted, tree, sum_counts, SUMMED, counts_again(tree, hash_of), "counts")
+    summed = materialize(last.groupBy(*NODE).applyInArrow(sum_counts, spark_schema(SUMMED)), "counts")
+    words, grams = (summed.where(F.col("kind") == k) for k in (WORDS, GRAMS))
+    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("known")).first()
     ids = docs.select(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("i"))
     ends = ids.where(F.crc32("i") % 10 != 0).count()
-    grams = summed.where(F.col("kind") == GRAMS)
-    grouped = materialize(map_rows(grams.select("bucket", "keys", "counts"), GROUPED, _regroup), "contexts")
-    rows = grouped.groupBy("context").applyInArrow(_weigh(depth), spark_schema(WEIGHTS)).collect()  # one row a pair of bytes: 65,536 at most
-    prices = grouped.groupBy("context").applyInArrow(_price(depth, *top_levels(rows)), spark_schema(PRICES))
-    told = grams.select("bucket", "keys", "segs", "asked").groupBy("bucket").cogroup(prices.groupBy("bucket")).applyInArrow(_answer_grams, spark_schema(ANSWERS))
-    words = map_rows(summed.where(F.col("kind") == WORDS).select("bucket", "counts", "segs", "asked"), ANSWERS, _answer_words)
-    answers = words.union(told)
-    score = _score(depth, buckets, totals["n"] + ends, totals["known"] + (ends > 0), ends)
-    return segs.select("seg", "doc_ids", "lens", "text").groupBy("seg").cogroup(answers.groupBy("seg")).applyInArrow(score, spark_schema(SCORES))
+    slots = materialize(grams.select("node", "keys", "counts").mapInArrow(_slots(depth), spark_schema(SLOTS)), "slots")
+    sums = slots.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")])
+    pairs = materialize(sums.mapInArrow(_pairs, spark_schema(PAIRS)), "pairs")
+    latest = F.col("slot").bitwiseAND(0xFFFF).alias("slot")
+    tops = pairs.groupBy(latest).agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "weight")]).collect()  # a byte and a prefix: 256 x 255 rows at most
+    mixtures = slots.select("node", "slot").join(pairs.select("slot", "beta", "one"), "slot")
+    priced = grams.drop("n", "known").groupBy("node").cogroup(mixtures.groupBy("node")).applyInArrow(_price(tree, depth, *top_levels(tops)), spark_schema(ANSWERS))
+    told = map_rows(words.drop("n", "known"), ANSWERS, _answer_words(tree)).union(priced)
+    answers = descend(nodes, told, tree, lambda row: hash_of(row["kind"], unpack_sorted(row["keys"])), codec)
+    score = _score(load, tree, depth, totals["n"] + ends, totals["known"] + (ends > 0), ends)
+    return segs.map_with(answers, SCORES, score)
 
 
 def op6_ctw_score(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WS, Rolling, by_slice, counts_in, id_text, joined, mix, runs, small_batches
+from .common import Rolling, WS, by_slice, counts_in, id_text, joined, mix, runs, small_batches, spark_schema
 
 #: largest share of word characters in the most frequent n-gram, by n (published corpus-cleaning rules)
 TOP = {2: 0.20, 3: 0.18, 4: 0.16}
@@ -134,11 +134,5 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.join(good, docs[id_col] == good["doc_id"], "left_semi")
 
 
-def spark_schema(schema: pa.Schema):
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    return from_arrow_schema(schema)
-
-
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))

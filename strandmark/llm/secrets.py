@@ -24,8 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_slice, id_text, small_batches
-from .quality import spark_schema
+from .common import by_slice, id_text, small_batches, spark_schema
 
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem", "slack")
 BASE = frozenset(KINDS[:3])

@@ -37,8 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, filesystem, id_text, materialize, mix, new_path, slices, small_batches
-from .quality import spark_schema
+from .common import by_slice, filesystem, id_text, materialize, mix, new_path, slices, small_batches, spark_schema
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: mean shard size that decides the number of blocks, and the size above which a shard is tiled

@@ -1,23 +1,29 @@
-"""Operator 10, exact-substring dedup with blockwise difference-cover suffix arrays.
+"""Operator 10, exact-substring dedup with difference-cover blockwise suffix arrays.
 
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller id.
 1. Winnowing: each 50-byte window picks the K-gram with the least hash in it. Equal windows
    pick the same K-gram at the same offset, so a window whose K-gram occurs in one document
-   only has no copy. Segments send distinct K-gram hashes to buckets and learn which are shared.
-2. Runs of windows with one shared K-gram go, with their bytes, to the bucket of that hash;
-   all copies of a window meet there. A segment sends equal runs once, under their smallest
-   id. K-grams of very many documents (hot ones) would fill a bucket: the windows that pick
-   them are keyed one by one, by their own 64-bit hash, and sent as (hash, smallest id).
-3. A bucket's distinct runs are one text, whose suffix array is built block by block: suffixes
+   only has no copy. Segments send distinct K-gram hashes up a tree of bounded fan (segments.py)
+   and learn which are shared.
+2. Runs of windows with one shared K-gram go, with their bytes, up the tree by that hash; all
+   copies of a window meet in a node of its last level. Equal runs are sent on once, under their
+   smallest id. The runs of a K-gram of very many documents (HOT_DOCUMENTS) would fill a node: its
+   windows are asked for one by one, by their own hash, and the shared ones go as runs of one
+   window by that hash. They differ in the way that they take, not in how they are compared.
+3. A node's distinct runs are one text, whose suffix array is built block by block: suffixes
    at the residues of a difference cover are ranked first; then one block of suffixes that
    share leading bytes at a time is sorted by PREFIX bytes, and longer ties are resolved by
    the ranks of cover positions at the offset that both suffixes share. Only one block's keys
    are in memory besides the ranks. Neighbours in it with 50 equal bytes are one group.
-4. Each segment gets back the smallest id of each distinct window that it sent, and removes
-   the windows of documents over it. No task holds more than an entry a segment for any string.
+4. Each segment gets back, down the tree, the smallest id of each distinct window that it sent, and
+   removes the windows of documents over it. No task holds more than FAN entries for any string.
+
+Hashes decide only who meets; whatever counts as equal, runs and windows, is compared by its bytes.
 
 Defined cases: a null text is empty; texts under 50 bytes keep everything; rows with equal
-ids do not remove each other; a null id counts as larger than any other and removes nothing.
+ids do not remove each other; a null id counts as larger than any other and removes nothing;
+an empty table gives no rows; texts of any length are treated whole, one over some MB in a segment
+of its own; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,10 +35,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Rolling, materialize, mix, runs
-from .lm import load
-from .quality import spark_schema
-from .segments import BUCKET_BYTES, as_table, bucket_count, by_bucket, map_rows, pack, pack_ints, pack_sorted, segments, unpack, unpack_ints, unpack_sorted
+from .common import Quick, materialize, mix, runs, spark_schema
+from .segments import ANSWERS, BUCKET_BYTES, COUNTED, NODE, SUMMED, Tree, as_table, climb, counts_again, descend, first_row, pack, pack_ints, pack_sorted, segments, spread, sum_counts, unpack, unpack_ints, unpack_sorted
 
 LENGTH, K = 50, 20
 #: a perfect difference cover: every residue modulo PERIOD is the difference of two of its members
@@ -41,17 +45,17 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 PREFIX = 16
 #: suffixes in a block, unless more share their first two bytes
 BLOCK = 500_000
-#: a K-gram of more documents is hot
-HOT_DOCUMENTS = 10_000
+#: windows of a K-gram of more documents travel one by one: its distinct runs (65 bytes each) could exceed a node's share of the text
+HOT_DOCUMENTS = 50_000
 #: stands for a null id
 NO_ID = np.iinfo(np.int64).max
 
-HASHES = pa.schema([("bucket", pa.int64()), ("seg", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())])
-#: kind: SHARED (values: for each K-gram that the segment sent to the bucket, ALONE, COMMON or VERY_COMMON), RUNS (values: smallest id of each window of each distinct run), HOT (of each hot window)
-ANSWERS = pa.schema([("seg", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("values", pa.binary())])
-SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("seg", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("n", pa.binary()), ("text", pa.binary())])
-SHARED, RUNS, HOT = 0, 1, 2
+#: kinds of answers: for each K-gram (GRAMS) and window of a hot one (WINDOWS) ALONE, COMMON or VERY_COMMON; for each window of each run its smallest id (RUNS)
+GRAMS, WINDOWS, RUNS = 0, 1, 2
 ALONE, COMMON, VERY_COMMON = 0, 1, 2
+#: distinct runs of a child: what sends them on (absent at the last level), smallest id, number of windows, bytes
+SENT = pa.schema([("kind", pa.int32()), ("node", pa.int64()), ("group", pa.int64()), ("child", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("n", pa.binary()), ("text", pa.binary())])
+HELD = pa.schema([("kind", pa.int32()), ("node", pa.int64()), ("group", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("n", pa.binary()), ("text", pa.binary()), ("children", pa.list_(pa.int64())), ("asked", pa.list_(pa.binary()))])
 DEDUPED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
 
 
@@ -196,7 +200,7 @@ def picks(texts: list[bytes], lens: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         none = np.empty(0, dtype=np.int64)
         return none, none, none.astype(np.uint64), none, blob
     at = np.arange(len(buf) - K + 1)
-    hashes = Rolling(buf).spans(at, at + K)
+    hashes = Quick(buf).spans(at, at + K)
     low = (hashes & ~np.uint64(0xFFFFFFFF)) | at.astype(np.uint64)
     width, have = LENGTH - K + 1, 1
     while have < width:  # minimum over a power of two, then over two overlapping ones
@@ -216,187 +220,226 @@ def picks(texts: list[bytes], lens: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return first, n, hashes[pick[first]], doc[first], blob
 
 
-def short(h: np.ndarray, buckets: int) -> np.ndarray:
+def short(h: np.ndarray, size: int) -> np.ndarray:
     """As many leading bits as keep chance matches rare for the size of the input: such a match costs work, not correctness."""
-    return h >> np.uint64(64 - min(64, 16 + (buckets * BUCKET_BYTES).bit_length()))
+    return h >> np.uint64(64 - min(64, 16 + (size + BUCKET_BYTES).bit_length()))
+
+
+def hash_of(kind: int, keys: np.ndarray) -> np.ndarray:
+    return mix(keys)
+
+
+def differ(words: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the strings of at least 8 bytes at a and b are not the same."""
+    out = np.zeros(len(a), dtype=bool)
+    for s in range(0, int(size.max(initial=0)), 8):
+        at = np.minimum(s, size - 8)
+        out |= words[a + at] != words[b + at]
+    return out
+
+
+def distinct_runs(text: bytes, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each set of equal runs, in order, and which of them each run is. Hashes propose, bytes decide."""
+    words, key = words_at(text), key + size.astype(np.uint64)
+    while True:
+        _, where, which = np.unique(key, return_index=True, return_inverse=True)
+        first = where[which]
+        other = np.flatnonzero(first != np.arange(len(first)))
+        one = first[other]
+        wrong = other[(size[other] != size[one]) | differ(words, start[other], start[one], np.minimum(size[other], size[one]))]
+        if not len(wrong):
+            order = np.argsort(where)
+            return where[order], np.argsort(order)[which]
+        key[wrong] = mix(key[wrong])
+
+
+def smallest(ids: np.ndarray, which: np.ndarray, groups: int) -> np.ndarray:
+    least = np.full(groups, NO_ID, dtype=np.int64)
+    np.minimum.at(least, which, ids)
+    return least
+
+
+def _count_rows(kind: int, row: dict, tree: Tree, h: np.ndarray, doc: np.ndarray) -> list[list]:
+    """Distinct hashes with the number of their documents, to the nodes of the first level."""
+    if not len(h):
+        return []
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    first = np.concatenate(([True], h[1:] != h[:-1]))
+    docs = np.bincount(np.cumsum(first) - 1, weights=np.concatenate(([True], first[1:] | (doc[1:] != doc[:-1])))).astype(np.int64)
+    keys = h[first]
+    return [[kind, d, tree.group_of(row["seg"], 0), row["seg"], pack_sorted(keys[at]), pack_ints(docs[at])] for d, at in tree.deal(hash_of(kind, keys), 0)]
 
 
-def _hashes(buckets: int):
+def _grams(load, tree: Tree, size: int):
     def fn(row: dict) -> list[list]:
-        texts, lens = load(row)
-        _, _, h, doc, _ = picks(texts, lens)
-        if not len(h):
-            return []
-        h = short(h, buckets)
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        first = np.concatenate(([True], h[1:] != h[:-1]))
-        docs = np.bincount(np.cumsum(first) - 1, weights=np.concatenate(([True], first[1:] | (doc[1:] != doc[:-1])))).astype(np.int64)
-        keys = h[first]
-        return [[b, row["seg"], pack_sorted(keys[at]), pack(np.minimum(docs[at], 0xFFFF).astype(np.uint16))] for b, at in by_bucket(keys, mix(keys), buckets)]
+        _, _, h, doc, _ = picks(*load(row))
+        return _count_rows(GRAMS, row, tree, short(h, size), doc)
 
     return fn
 
 
-def _shared(hot: int):
-    """Which of a bucket's hashes are of two documents or more, and which are hot, told to each segment in the order in which it sent them."""
+def _shared(tree: Tree, hot: int):
+    """Which of a node's hashes are of two documents or more, and which K-grams are hot, told to each child in the order in which it sent them."""
 
     def fn(table: pa.Table) -> pa.Table:
-        mine = [unpack_sorted(x.as_py()) for x in table["keys"]]
-        every = np.concatenate(mine)
-        docs = np.concatenate([unpack(x.as_py(), np.uint16) for x in table["docs"]])
-        keys, which = np.unique(every, return_inverse=True)
-        total = np.bincount(which, weights=docs)
-        cut = np.cumsum([len(k) for k in mine])[:-1]
-        out = []
-        for seg, n in zip(table["seg"].to_pylist(), np.split(total[which], cut), strict=True):
-            if (n > 1).any():
-                out.append([seg, SHARED, table["bucket"][0].as_py(), pack((n > 1).astype(np.uint8) + (n > hot))])
-        return as_table(out, ANSWERS)
+        row = first_row(sum_counts(table))
+        n = unpack_ints(row["counts"])
+        state = (n > 1).astype(np.uint8) + (n > hot)
+        if row["kind"] == WINDOWS:
+            state = np.minimum(state, COMMON)
+        return as_table(tree.down(row, state, pack), ANSWERS) if state.any() else as_table([], ANSWERS)
 
     return fn
 
 
 class Candidates:
-    """A segment's runs with shared K-grams: distinct ones by bucket, and the hot windows. Building it twice gives the same order."""
+    """A segment's windows with shared K-grams, as runs, each distinct one once. Building it twice gives the same order."""
 
-    def __init__(self, row: dict, shared: pa.Table, buckets: int):
+    def __init__(self, row: dict, told: pa.Table, load, tree: Tree, size: int):
         texts, self.lens = load(row)
-        first, n, h, doc, blob = picks(texts, self.lens)
-        keys, at = np.unique(short(h, buckets), return_inverse=True)
-        told = dict(zip(shared["bucket"].to_pylist(), shared["values"].to_pylist(), strict=True))
+        self.told = {(k, d): v for k, d, v in zip(*(told[c].to_pylist() for c in ("kind", "digit", "values")), strict=True)}
+        self.tree, self.size = tree, size
+        first, n, h, doc, self.blob = picks(texts, self.lens)
+        self.quick = Quick(np.frombuffer(self.blob, dtype=np.uint8))
+        h = short(h, size)
+        state = self.states(GRAMS, h)
+        warm = np.flatnonzero(state == VERY_COMMON)
+        #: windows of hot K-grams, and their documents
+        self.hot, self.hot_doc = spread(first[warm], n[warm]), np.repeat(doc[warm], n[warm])
+        self.hot_hash = short(self.quick.spans(self.hot, self.hot + LENGTH), size)
+        self.cool = state == COMMON
+        self.parts = first, n, h, doc
+        self.row = row
+
+    def states(self, kind: int, h: np.ndarray) -> np.ndarray:
+        """What the tree says of each hash."""
+        keys, at = np.unique(h, return_inverse=True)
         state = np.full(len(keys), ALONE, dtype=np.uint8)
-        for b, mine in by_bucket(keys, mix(keys), buckets):
-            if b in told:
-                state[mine] = unpack(told[b], np.uint8)
-        state = state[at]
-        ids = np.array([NO_ID if i is None else i for i in row["doc_ids"]], dtype=np.int64)
-        self.buf = np.frombuffer(blob, dtype=np.uint8)
-        rolling = Rolling(self.buf)
-        cool = np.flatnonzero(state == COMMON)
-        self.first, self.n, self.ids = first[cool], n[cool], ids[doc[cool]]
-        # equal runs by the 64-bit hash of their bytes: the K-gram's hash decides the bucket
-        content = rolling.spans(self.first, self.first + self.n + LENGTH - 1)
-        _, self.where, self.which = np.unique(content, return_index=True, return_inverse=True)
+        for d, mine in self.tree.deal(hash_of(kind, keys), 0):
+            if (kind, d) in self.told:
+                state[mine] = unpack(self.told[kind, d], np.uint8)
+        return state[at]
+
+    def runs(self) -> Candidates:
+        first, n, h, doc = (x[self.cool] for x in self.parts)
+        hot = self.states(WINDOWS, self.hot_hash) == COMMON
+        ids = np.array([NO_ID if i is None else i for i in self.row["doc_ids"]], dtype=np.int64)
+        self.first = np.concatenate((first, self.hot[hot]))
+        self.n = np.concatenate((n, np.ones(int(hot.sum()), dtype=np.int64)))
+        self.ids = ids[np.concatenate((doc, self.hot_doc[hot]))]
+        keys = np.concatenate((h, self.hot_hash[hot]))
+        long = self.n + LENGTH - 1
+        self.where, self.which = distinct_runs(self.blob, self.first, long, self.quick.spans(self.first, self.first + long))
         self.least = smallest(self.ids, self.which, len(self.where))
-        self.hashes = mix(h[cool][self.where])
-        warm = np.flatnonzero(state == VERY_COMMON)
-        self.hot = spread(first[warm], n[warm])
-        self.hot_ids = np.repeat(ids[doc[warm]], n[warm])
-        self.hot_keys, self.hot_which = np.unique(rolling.spans(self.hot, self.hot + LENGTH), return_inverse=True)
-        self.hot_least = smallest(self.hot_ids, self.hot_which, len(self.hot_keys))
-
-    def runs_by_bucket(self, buckets: int):
-        return by_bucket(self.hashes, self.hashes, buckets)
-
-    def hot_by_bucket(self, buckets: int):
-        return by_bucket(self.hot_keys, mix(self.hot_keys), buckets)
+        self.keys = mix(keys[self.where])
+        return self
 
 
-def smallest(ids: np.ndarray, which: np.ndarray, groups: int) -> np.ndarray:
-    least = np.full(groups, NO_ID, dtype=np.int64)
-    np.minimum.at(least, which, ids)
-    return least
-
+def _windows(load, tree: Tree, size: int):
+    """The windows of a segment's hot K-grams, as _grams sends K-grams."""
 
-def _send(buckets: int):
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if left.num_rows and right.num_rows:
-            c = Candidates({n: left[n][0].as_py() for n in left.column_names}, right, buckets)
-            seg = left["seg"][0].as_py()
-            for b, at in c.runs_by_bucket(buckets):
-                own = c.where[at]
-                text = c.buf[spread(c.first[own], c.n[own] + LENGTH - 1)]
-                out.append([RUNS, b, seg, None, pack_ints(c.least[at]), pack(c.n[own].astype(np.uint8)), pack(text)])
-            out += [[HOT, b, seg, pack_sorted(c.hot_keys[at]), pack_ints(c.hot_least[at]), None, None] for b, at in c.hot_by_bucket(buckets)]
-        return as_table(out, SENT)
+        if not left.num_rows or not right.num_rows:
+            return as_table([], COUNTED)
+        c = Candidates(first_row(left), right, load, tree, size)
+        return as_table(_count_rows(WINDOWS, c.row, tree, c.hot_hash, c.hot_doc), COUNTED)
 
     return fn
 
 
-def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Indexes start, start + 1, ... of each range, one range after the other."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-
+def _send(load, tree: Tree, size: int):
+    def fn(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return as_table([], SENT)
+        c = Candidates(first_row(left), right, load, tree, size).runs()
+        own = c.where
+        return as_table(_run_rows(tree, 0, 0, c.row["seg"], c.row["seg"], c.keys, c.least, c.n[own], c.blob, c.first[own]), SENT)
 
-def _group(table: pa.Table) -> pa.Table:
-    return _group_hot(table) if table["kind"][0].as_py() == HOT else _group_runs(table)
+    return fn
 
 
-def _group_hot(table: pa.Table) -> pa.Table:
-    mine = [unpack_sorted(x.as_py()) for x in table["keys"]]
-    keys, which = np.unique(np.concatenate(mine), return_inverse=True)
-    least = smallest(np.concatenate([unpack_ints(x.as_py()) for x in table["ids"]]), which, len(keys))
-    cut = np.cumsum([len(k) for k in mine])[:-1]
-    return as_table([[s, HOT, b, pack_ints(x)] for s, b, x in zip(table["seg"].to_pylist(), table["bucket"].to_pylist(), np.split(least[which], cut), strict=True)], ANSWERS)
+def _run_rows(tree: Tree, level: int, node: int, group: int, child: int, keys: np.ndarray, ids: np.ndarray, n: np.ndarray, text: bytes, start: np.ndarray) -> list[list]:
+    """Runs to the nodes of a level."""
+    buf, out = np.frombuffer(text, dtype=np.uint8), []
+    for d, at in tree.deal(keys, level):
+        body = buf[spread(start[at], n[at] + LENGTH - 1)]
+        further = pack(keys[at]) if level + 1 < tree.levels else None
+        out.append([RUNS, node * tree.fans[level] + d, tree.group_of(group, level), child, further, pack_ints(ids[at]), pack(n[at].astype(np.uint8)), pack(body)])
+    return out
 
 
-def _group_runs(table: pa.Table) -> pa.Table:
-    """One bucket: the smallest id of each window of each run."""
+def _join(table: pa.Table) -> tuple[dict, bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """A node of SENT rows: a HELD row without its text, the distinct runs' text, and where each begins in it; their windows and smallest ids."""
     n = [unpack(x.as_py(), np.uint8).astype(np.int64) for x in table["n"]]
     held = np.concatenate(([0], np.cumsum([len(x) for x in n])))
     n = np.concatenate(n)
-    ids = np.concatenate([unpack_ints(x.as_py()) for x in table["ids"]])
     size = n + LENGTH - 1
-    # segments' equal runs are one, and only one of them is kept in memory
-    texts = [x.as_py() for x in table["text"]]
-    content = np.empty(len(n), dtype=np.uint64)
-    for k, packed in enumerate(texts):
+    start = np.cumsum(size) - size
+    texts, content = [], np.empty(len(n), dtype=np.uint64)
+    for k, packed in enumerate(table["text"]):
         mine = slice(held[k], held[k + 1])
-        end = np.cumsum(size[mine])
-        content[mine] = Rolling(np.frombuffer(unpack(packed), dtype=np.uint8)).spans(end - size[mine], end)
-    _, where, which = np.unique(content, return_index=True, return_inverse=True)
-    order = np.argsort(where)  # runs in the order in which they come
-    where, which = where[order], np.argsort(order)[which]
-    least = smallest(ids, which, len(where))
-    pieces = []
-    for k, packed in enumerate(texts):
-        mine = where[(where >= held[k]) & (where < held[k + 1])]
-        begin = np.cumsum(size[held[k] : held[k + 1]]) - size[held[k] : held[k + 1]]
-        pieces.append(np.frombuffer(unpack(packed), dtype=np.uint8)[spread(begin[mine - held[k]], size[mine])])
-    body = np.concatenate(pieces).tobytes()
-    del texts, pieces
-    windows = spread(np.cumsum(size[where]) - size[where], n[where])
-    run = np.repeat(np.arange(len(where)), n[where])
-    window_of = np.full(len(body), -1, dtype=np.int64)
-    window_of[windows] = np.arange(len(windows))
-    first_id = np.empty(len(windows), dtype=np.int64)
-    for block, group in equal_groups(body, windows, LENGTH):
-        w = window_of[block]
-        first_id[w] = smallest(least[run[w]], group, int(group[-1]) + 1)[group]
-    offset = np.cumsum(n[where]) - n[where]
-    out = []
-    for k, (s, b) in enumerate(zip(table["seg"].to_pylist(), table["bucket"].to_pylist(), strict=True)):
-        mine = slice(held[k], held[k + 1])
-        out.append([s, RUNS, b, pack_ints(first_id[spread(offset[which[mine]], n[mine])])])
-    return as_table(out, ANSWERS)
+        texts.append(unpack(packed.as_py()))
+        begin = start[mine] - start[mine][:1]
+        content[mine] = Quick(np.frombuffer(texts[-1], dtype=np.uint8)).spans(begin, begin + size[mine])
+    text = b"".join(texts)
+    del texts
+    where, which = distinct_runs(text, start, size, content)
+    least = smallest(np.concatenate([unpack_ints(x.as_py()) for x in table["ids"]]), which, len(where))
+    body = np.frombuffer(text, dtype=np.uint8)[spread(start[where], size[where])].tobytes()
+    further = None if table["keys"][0].as_py() is None else pack(np.concatenate([unpack(x.as_py(), np.uint64) for x in table["keys"]])[where])
+    row = first_row(table.select(NODE)) | {"keys": further, "children": table["child"].to_pylist(), "asked": [pack(x.astype(np.int32)) for x in np.split(which, held[1:-1])]}
+    size = size[where]
+    return row, body, np.cumsum(size) - size, n[where], least
+
 
+def _merge(table: pa.Table) -> pa.Table:
+    row, body, _, n, least = _join(table)
+    row |= {"ids": pack_ints(least), "n": pack(n.astype(np.uint8)), "text": pack(body)}
+    return as_table([[row[f.name] for f in HELD]], HELD)
 
-def _finish(buckets: int):
+
+def _runs_again(tree: Tree):
+    def again(row: dict, level: int) -> list[list]:
+        n = unpack(row["n"], np.uint8).astype(np.int64)
+        size = n + LENGTH - 1
+        return _run_rows(tree, level, row["node"], row["group"], row["group"], unpack(row["keys"], np.uint64), unpack_ints(row["ids"]), n, unpack(row["text"]), np.cumsum(size) - size)
+
+    return again
+
+
+def _group(tree: Tree):
+    """A node of the last level: the smallest id of each window of each run, by the suffix array of all."""
+
+    def fn(table: pa.Table) -> pa.Table:
+        row, body, start, n, least = _join(table)
+        windows, run = spread(start, n), np.repeat(np.arange(len(n)), n)
+        window_of = np.full(len(body), -1, dtype=np.int64)
+        window_of[windows] = np.arange(len(windows))
+        first_id = np.empty(len(windows), dtype=np.int64)
+        for block, group in equal_groups(body, windows, LENGTH):
+            w = window_of[block]
+            first_id[w] = smallest(least[run[w]], group, int(group[-1]) + 1)[group]
+        return as_table(tree.down(row, first_id, pack_ints, n), ANSWERS)
+
+    return fn
+
+
+def _finish(load, tree: Tree, size: int):
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        kind, bucket = np.array(right["kind"].to_pylist()), np.array(right["bucket"].to_pylist())
-        told = {(k, b): i for i, (k, b) in enumerate(zip(kind.tolist(), bucket.tolist(), strict=True)) if k != SHARED}
-        value = lambda k, b: unpack_ints(right["values"][told[k, b]].as_py())
-        for i in range(left.num_rows):
-            row = {n: left[n][i].as_py() for n in left.column_names}
-            c = Candidates(row, right.filter(pa.array(kind == SHARED)), buckets)
-            edge = np.zeros(int(c.lens.sum()) + 1, dtype=np.int64)
+        row = first_row(left)
+        texts, lens = load(row)
+        edge = np.zeros(int(lens.sum()) + 1, dtype=np.int64)
+        if right.num_rows:
+            c = Candidates(row, right, load, tree, size).runs()
             # distinct runs' windows in the order of the runs
             sizes = c.n[c.where]
             begin = np.cumsum(sizes) - sizes
             first_id = np.empty(int(sizes.sum()), dtype=np.int64)
-            for b, at in c.runs_by_bucket(buckets):
-                first_id[spread(begin[at], sizes[at])] = value(RUNS, b)
-            gone = first_id[spread(begin[c.which], c.n)] < np.repeat(c.ids, c.n)
-            mark(edge, spread(c.first, c.n)[gone])
-            hot_id = np.empty(len(c.hot_keys), dtype=np.int64)
-            for b, at in c.hot_by_bucket(buckets):
-                hot_id[at] = value(HOT, b)
-            mark(edge, c.hot[hot_id[c.hot_which] < c.hot_ids])
-            rows += cut_out(row, np.cumsum(edge[:-1]) > 0)
-        return as_table(rows, DEDUPED)
+            for d, at in tree.deal(c.keys, 0):
+                first_id[spread(begin[at], sizes[at])] = unpack_ints(c.told[RUNS, d])
+            mark(edge, spread(c.first, c.n)[first_id[spread(begin[c.which], c.n)] < np.repeat(c.ids, c.n)])
+        return as_table(cut_out(row["doc_ids"], texts, np.cumsum(edge[:-1]) > 0), DEDUPED)
 
     return fn
 
@@ -406,10 +449,10 @@ def mark(edge: np.ndarray, windows: np.ndarray) -> None:
     np.add.at(edge, windows + LENGTH, -1)
 
 
-def cut_out(row: dict, gone: np.ndarray) -> list[list]:
-    texts, lens = load(row)
+def cut_out(ids: list, texts: list[bytes], gone: np.ndarray) -> list[list]:
     rows, at = [], 0
-    for doc_id, text, n in zip(row["doc_ids"], texts, lens.tolist(), strict=True):
+    for doc_id, text in zip(ids, texts, strict=True):
+        n = len(text)
         start, end = runs(gone[at : at + n])
         at += n
         pieces, last = [], 0
@@ -424,13 +467,21 @@ def cut_out(row: dict, gone: np.ndarray) -> list[list]:
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document row: sizes, removed spans (bytes, end exclusive) and the bytes that stay."""
     segs = segments(docs, id_col, text_col)
-    buckets = bucket_count(segs)
-    body = segs.select("seg", "doc_ids", "lens", "text")
-    hashes = map_rows(body, HASHES, _hashes(buckets))
-    shared = materialize(hashes.groupBy("bucket").applyInArrow(_shared(HOT_DOCUMENTS), spark_schema(ANSWERS)), "shared")
-    sent = body.groupBy("seg").cogroup(shared.groupBy("seg")).applyInArrow(_send(buckets), spark_schema(SENT))
-    groups = materialize(sent.groupBy("kind", "bucket").applyInArrow(_group, spark_schema(ANSWERS)), "windows")
-    return body.groupBy("seg").cogroup(shared.union(groups).groupBy("seg")).applyInArrow(_finish(buckets), spark_schema(DEDUPED))
+    tree, mine = Tree(segs.size, segs.count), (segs.loader(), Tree(segs.size, segs.count), segs.size)
+
+    def flags(sent: DataFrame) -> DataFrame:
+        nodes, last = climb(sent, tree, sum_counts, SUMMED, counts_again(tree, hash_of), "counts")
+        told = last.groupBy(*NODE).applyInArrow(_shared(tree, HOT_DOCUMENTS), spark_schema(ANSWERS))
+        states = lambda row: hash_of(row["kind"], unpack_sorted(row["keys"]))
+        return materialize(descend(nodes, told, tree, states, lambda kind: (np.uint8, pack, lambda b: unpack(b, np.uint8))), "shared")
+
+    known = flags(segs.map(COUNTED, _grams(*mine)))
+    known = known.union(flags(segs.map_with(known, COUNTED, _windows(*mine))))
+    nodes, last = climb(segs.map_with(known, SENT, _send(*mine)), tree, _merge, HELD, _runs_again(tree), "runs")
+    told = materialize(last.groupBy(*NODE).applyInArrow(_group(tree), spark_schema(ANSWERS)), "windows")
+    windows_of = lambda row: unpack(row["n"], np.uint8).astype(np.int64)
+    answers = descend(nodes, told, tree, lambda row: unpack(row["keys"], np.uint64), lambda kind: (np.int64, pack_ints, unpack_ints), windows_of)
+    return segs.map_with(known.union(answers), DEDUPED, _finish(*mine))
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -31,8 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, new_path, path_of, read_blocks, small_batches
-from .quality import spark_schema
+from .common import filesystem, materialize, new_path, path_of, read_blocks, small_batches, spark_schema
 
 MIN_REVISIT = 1000
 BLOCK = 1000

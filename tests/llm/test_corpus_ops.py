@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandmark.llm import lm, simhash, suffix
+from strandmark.llm import lm, segments, simhash, suffix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -41,10 +41,14 @@ def brute_dedup(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [10_000, 5, 1])
-def test_suffix_dedup_matches_brute_force(docs, texts, monkeypatch, hot):
+@pytest.mark.parametrize("hot,fan", [(50_000, 256), (5, 256), (1, 256), (5, 3)])
+def test_suffix_dedup_matches_brute_force(docs, texts, monkeypatch, hot, fan):
     monkeypatch.setattr(suffix, "BLOCK", 100)
     monkeypatch.setattr(suffix, "HOT_DOCUMENTS", hot)
+    if fan == 3:  # a tree of many levels and groups
+        monkeypatch.setattr(segments, "FAN", fan)
+        monkeypatch.setattr(segments, "SEGMENT_BYTES", 10_000)
+        monkeypatch.setattr(segments, "BUCKET_BYTES", 10_000)
     got = suffix.suffix_dedup(docs)
     cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == brute_dedup(list(enumerate(texts)))
@@ -264,8 +268,12 @@ class BruteTree:
         return sum(math.log10(self.p(ctx, 0, (1 << b) | (s >> (8 - b)), (s >> (7 - b)) & 1)) for ctx, s in self.symbols(t) for b in range(8))
 
 
-@pytest.mark.parametrize("depth", [2, 4])
-def test_scores_match_brute_force(spark, texts, depth):
+@pytest.mark.parametrize("depth,fan", [(3, 256), (4, 3), (5, 256)])
+def test_scores_match_brute_force(spark, texts, monkeypatch, depth, fan):
+    if fan == 3:  # a tree of many levels and groups
+        monkeypatch.setattr(segments, "FAN", fan)
+        monkeypatch.setattr(segments, "SEGMENT_BYTES", 3000)
+        monkeypatch.setattr(segments, "BUCKET_BYTES", 3000)
     small = [t if t is None or len(t) < 3000 else t[:500] for t in texts[:60]]
     df = spark.createDataFrame(list(enumerate(small)), "doc_id long, text string").repartition(3).withColumn("seg", F.lit("clash"))
     got = {r.doc_id: r for r in lm.ctw_scores(df, depth).collect()}
