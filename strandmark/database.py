@@ -48,8 +48,13 @@ class Database:
         if not name or not self.has(name):
             raise ValueError(f"{name} table does not exist")
         # sample names such as 001 must stay text when they are partition values
-        self.spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-        return self.spark.read.parquet(self.path(name))
+        key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "false")
+        try:
+            return self.spark.read.parquet(self.path(name))
+        finally:
+            self.spark.conf.set(key, before)
 
     def write(self, df: DataFrame, name: str, overwrite: bool = True, partition_by: list[str] | None = None) -> Database:
         sinks.write_table(df, self.path(name), "overwrite" if overwrite else "append", partition_by)
@@ -120,6 +125,9 @@ class Database:
     def filter_table(self, input_table: str, output_table: str, *conditions: Column | str) -> Database:
         return self.write(filters.filter_rows(self.table(input_table), *conditions), output_table)
 
+    def rename_preview(self, table: str, samples_map: Mapping[str, str], strict: bool = True) -> DataFrame:
+        return filters.rename_preview(self.table(table), samples_map, strict)
+
     def rename_samples(self, table: str, samples_map: Mapping[str, str], strict: bool = True) -> Database:
         return self.write(filters.rename_samples(self.table(table), samples_map, strict), table)
 
@@ -127,7 +135,9 @@ class Database:
         name = output_table or f"mod_diff_{call_type}"
         if self.has(name) and not overwrite:
             raise ValueError(f"table {name} exists; overwrite it or choose another output_table")
-        return self.write(differential.calc_diff(self.table(call_type), **args).orderBy(F.asc_nulls_last("p_adjust")), name)
+        diff = differential.calc_diff(self.table(call_type), **args)
+        order = [c for c in ("chrom", "start", "end", "region_name") if c in diff.columns]  # many loci share a p-value: they alone would be one range
+        return self.write(diff.orderBy(F.asc_nulls_last("p_adjust"), *order), name)
 
     def collapse_windows(self, input_table: str = "mod_diff_windows", output_table: str = "collapsed_windows", **args) -> Database:
         return self.write(differential.collapse_windows(self.table(input_table), **args).orderBy("chrom", "start"), output_table)
@@ -155,6 +165,28 @@ class Database:
             raise ValueError("compute needs an output_table")
         return self.write(out, output_table)
 
+    # ------------------------------------------------------------ what plots draw
+
+    def archive_report(self, files, **args) -> dict[str, DataFrame]:
+        return qc.archive_report(self.spark, files, **args)
+
+    def plot_coverage(self, table: str = "positions", max_rows: int | None = None) -> dict[str, DataFrame]:
+        return workflow.coverage_plot(qc.sample_rows(self.table(table), max_rows))
+
+    def plot_fractions(self, table: str = "positions", max_rows: int | None = None) -> dict[str, DataFrame]:
+        return workflow.fraction_plot(qc.sample_rows(self.table(table), max_rows))
+
+    def plot_pca(self, table: str = "positions", value: str = "m_frac", max_rows: int | None = None) -> DataFrame:
+        return qc.sample_pca(qc.sample_rows(self.table(table), max_rows), value)
+
+    def plot_diff(self, table: str = "mod_diff_positions", bins: int = 100) -> DataFrame:
+        return qc.volcano_raster(self.table(table), bins)
+
+    def plot_diff_density(self, table: str = "mod_diff_positions", n: int = 250) -> DataFrame:
+        return qc.kde_grid(self.table(table), n=n)
+
+    # ------------------------------------------------------------ workflows
+
     def run_qc(self, **args) -> dict[str, DataFrame]:
         return workflow.run_qc(self, **args)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .intervals import BROADCAST_ROWS, overlap_join
+from .intervals import overlap_join
 
 TESTS = ("wilcox", "fast_fisher", "r_fisher", "log_reg")
 
@@ -17,9 +17,9 @@ TESTS = ("wilcox", "fast_fisher", "r_fisher", "log_reg")
 def check_groups(df: DataFrame, cases: Sequence[str], controls: Sequence[str], mod_type: str) -> None:
     labels = sorted(c.removesuffix("_counts") for c in df.columns if c.endswith("_counts"))
     if mod_type not in labels:
-        raise ValueError(f"Requested mod_type '{mod_type}' not found. Available mod types are: {', '.join(labels)}.")
+        raise ValueError(f"Requested mod_type '{mod_type}' not found among the table's counts ({', '.join(labels)})")
     if "num_calls" not in df.columns:
-        raise ValueError("The table is missing required column 'num_calls'.")
+        raise ValueError("num_calls is not a column of the table")
     present = {r[0] for r in df.where(F.col("sample_name").isin(*cases, *controls)).select("sample_name").distinct().collect()}  # given names
     for what, names in (("case", cases), ("control", controls)):
         if missing := [n for n in names if n not in present]:
@@ -37,7 +37,7 @@ def calc_diff(df: DataFrame, cases: Sequence[str], controls: Sequence[str], mod_
     rows = df.select(*loci, side.alias("is_case"), "num_calls", F.col(f"{mod_type}_counts").alias("mod")).where("is_case IS NOT NULL")
     if calc_type == "wilcox":
         out = _wilcoxon(rows, loci, mod_type)
-        return stats.bh_adjust(out.persist()) if adjust else out  # else the tests would run for each branch of the adjustment
+        return stats.bh_adjust(out) if adjust else out
     return _pooled(rows, loci, mod_type, calc_type, adjust)
 
 
@@ -51,7 +51,6 @@ def _pooled(rows: DataFrame, loci: list[str], mod: str, calc_type: str, adjust:
     sides = {"case": True, "control": False}
     dat = rows.groupBy(*loci).agg(*[_side(F.col("num_calls"), v).alias(f"num_calls_{s}") for s, v in sides.items()], *[_side(F.col("mod"), v).alias(f"{mod}_counts_{s}") for s, v in sides.items()])
     dat = dat.withColumns({f"{other}_{s}": F.col(f"num_calls_{s}") - F.col(f"{mod}_counts_{s}") for s in sides})
-    dat = dat.persist()  # loci: read by the tables of counts and by the result
     cells = [f"{mod}_counts_case", f"{mod}_counts_control", f"{other}_case", f"{other}_control"]
     mc, mk, uc, uk = (F.col(c) for c in cells)
     test = {
@@ -61,7 +60,7 @@ def _pooled(rows: DataFrame, loci: list[str], mod: str, calc_type: str, adjust:
     }[calc_type]()
     tables = dat.groupBy(*cells).agg(F.count(F.lit(1)).alias("__loci")).withColumn("p_val", test)
     if adjust:
-        tables = stats.bh_adjust(tables.persist(), weight="__loci")
+        tables = stats.bh_adjust(tables, weight="__loci")
     frac = {s: F.when(F.col(f"num_calls_{s}") > 0, F.col(f"{mod}_counts_{s}") / F.col(f"num_calls_{s}")) for s in sides}
     return dat.join(tables.drop("__loci"), cells).select(
         *loci, *[f"num_calls_{s}" for s in sides], *[f"{mod}_counts_{s}" for s in sides], *[f"{other}_{s}" for s in sides],
@@ -106,11 +105,11 @@ def classify_reads(reads: DataFrame, key: DataFrame, case: str = "case", control
     """One row for each read and overlapping key row; control is tried before case."""
     if missing := [c for c in KEY_COLUMNS if c not in key.columns]:
         raise ValueError(f"Key table must include columns: {', '.join(missing)}")
-    n, least = key.agg(F.count(F.lit(1)), F.min(F.abs("avg_meth_diff"))).first()
+    least = key.agg(F.min(F.abs("avg_meth_diff"))).first()[0]
     if least is not None and meth_diff_threshold >= least / 2:
         raise ValueError(f"meth_diff_threshold must be less than half of the least difference in the key table ({least})")
     ranges = key.select(F.col("chrom").alias("i_chrom"), F.col("start").cast("long").alias("i_start"), F.col("end").cast("long").alias("i_end"), "avg_mh_frac_control", "avg_mh_frac_case")
-    joined = overlap_join(reads, ranges, "first_cpg_pos", "last_cpg_pos", small=n <= BROADCAST_ROWS)
+    joined = overlap_join(reads, ranges, "first_cpg_pos", "last_cpg_pos")
     near = lambda c: F.abs(F.col("mh_frac") - F.col(c)) <= meth_diff_threshold
     label = F.when(near("avg_mh_frac_control"), control).when(near("avg_mh_frac_case"), case).otherwise("unknown")
     return joined.select("sample_name", "read_id", "first_cpg_pos", "last_cpg_pos", "mh_frac", label.alias("classification"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -44,10 +45,22 @@ def check_samples_map(df: DataFrame, samples_map: Mapping[str, str], strict: boo
     return sorted({f"several samples become '{s}'" for s in after if after.count(s) > 1})
 
 
-def rename_samples(df: DataFrame, samples_map: Mapping[str, str], strict: bool = True) -> DataFrame:
-    check_samples_map(df, samples_map, strict)
+def renamed(samples_map: Mapping[str, str]) -> Column:
     new = F.create_map(*[F.lit(x) for pair in samples_map.items() for x in pair])
-    return df.withColumn("sample_name", F.coalesce(F.element_at(new, F.col("sample_name")), F.col("sample_name")))
+    return F.coalesce(F.element_at(new, F.col("sample_name")), F.col("sample_name"))
+
+
+def rename_preview(df: DataFrame, samples_map: Mapping[str, str], strict: bool = True) -> DataFrame:
+    """(sample_name, new_name, num_rows) of every sample."""
+    check_samples_map(df, samples_map, strict)
+    return sample_counts(df).select("sample_name", renamed(samples_map).alias("new_name"), "num_rows")
+
+
+def rename_samples(df: DataFrame, samples_map: Mapping[str, str], strict: bool = True) -> DataFrame:
+    """Samples that come to share a name are a warning."""
+    for message in check_samples_map(df, samples_map, strict):
+        warnings.warn(message, stacklevel=2)
+    return df.withColumn("sample_name", renamed(samples_map))
 
 
 def cpg_count(df: DataFrame, by_chrom: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mods import code_counts, fractions, summed_counts
 from ..schema import DEFAULT_CHRS, DEFAULT_MODS, parse_mods
-from .intervals import is_small, point_join
+from .intervals import point_join
 
 
 def _usable(calls: DataFrame, chrs: Sequence[str] | None, samples: Sequence[str] | None) -> DataFrame:
@@ -37,8 +37,9 @@ def windows(calls: DataFrame, window_size: int = 1000, step_size: int = 10, chrs
     """Windows of window_size that start at each offset 1, 1 + step, ... below window_size.
 
     A position before an offset belongs to the window that starts at the offset. Positions are counted
-    once and summed over the cells between neighbouring offsets, which share all their windows; only cells
-    are then multiplied by the number of offsets.
+    once and summed over the cells between neighbouring offsets, which share all their windows. The cells of a
+    turn of window_size positions meet those of the next one in a single row (each is sent twice), from
+    which all windows that start in the turn are summed: those of its cells from the offset on, and the next turn's before it.
     """
     if window_size < 2 or step_size < 1:
         raise ValueError("window_size must be at least 2 and step_size at least 1")
@@ -48,13 +49,19 @@ def windows(calls: DataFrame, window_size: int = 1000, step_size: int = 10, chrs
     turn = F.floor((F.col("start") - 1) / window_size)
     cell = F.least(F.floor(((F.col("start") - 1) % window_size) / step_size), F.lit(n - 1))
     cells = at.groupBy("sample_name", "chrom", turn.alias("turn"), cell.alias("cell")).agg(F.count(F.lit(1)).alias("num_CpGs"), F.sum("num_calls").alias("num_calls"), *summed_counts(specs))
-    start = F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda j: (F.col("turn") * window_size + 1 + j * step_size - F.when((F.col("cell") < j) & (F.col("turn") > 0), window_size).otherwise(0)).cast("long"),
-    )
-    dealt = cells.withColumn("start", F.explode(start))
-    summed = dealt.groupBy("sample_name", "chrom", "start").agg(F.sum("num_CpGs").alias("num_CpGs"), F.sum("num_calls").alias("num_calls"), *summed_counts(specs))
-    kept = summed.where(F.col("num_calls") >= min_num_calls)
+    sums = ["num_CpGs", "num_calls", *[f"{s.column}_counts" for s in specs]]
+    places = F.array(F.struct(F.col("turn").alias("turn"), F.col("cell").alias("cell")), F.struct((F.col("turn") - 1).alias("turn"), (F.col("cell") + n).alias("cell")))
+    dealt = cells.select("sample_name", "chrom", F.explode(places).alias("place"), *sums).where("place.turn >= 0")
+    turns = dealt.groupBy("sample_name", "chrom", "place.turn").agg(F.collect_list(F.struct(F.col("place.cell").alias("cell"), *sums)).alias("cells"))  # 2 n of them at most
+
+    def window(j):
+        zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in sums])
+        inside = lambda c: (c["cell"] < j + n) & ((c["cell"] >= j) | (F.col("turn") == 0))
+        total = F.aggregate(F.filter("cells", inside), zero, lambda acc, c: F.struct(*[(acc[x] + c[x]).alias(x) for x in sums]))
+        return F.struct((F.col("turn") * window_size + 1 + j * step_size).cast("long").alias("start"), total.alias("sum"))
+
+    summed = turns.select("sample_name", "chrom", F.inline(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), window))).select("sample_name", "chrom", "start", "sum.*")
+    kept = summed.where((F.col("num_CpGs") > 0) & (F.col("num_calls") >= min_num_calls))
     return kept.select("sample_name", "chrom", "start", (F.col("start") + window_size - 1).alias("end"), "num_CpGs", "num_calls", *[f"{s.column}_counts" for s in specs], *fractions(specs))
 
 
@@ -78,21 +85,14 @@ def regions(calls: DataFrame, annotation: DataFrame, join: str = "inner", chrs=D
     at = _usable(calls, chrs, samples).groupBy("sample_name", "chrom", "start", "end").agg(F.count(F.lit(1)).alias("num_calls"), *code_counts(specs))
     last = F.col("end").cast("long") - (1 if half_open else 0)
     ranges = match_chr_style(annotation, calls).select("region_name", F.col("chrom").alias("i_chrom"), F.col("start").cast("long").alias("i_start"), last.alias("i_end"), F.col("end").cast("long").alias("r_end"))
-    small = is_small(ranges)
     keys = ["sample_name", "region_name", F.col("i_chrom").alias("chrom"), F.col("i_start").alias("start"), F.col("r_end").alias("end")]
-    if join == "left" and small:
-        inside = (F.col("chrom") == F.col("i_chrom")) & F.col("start").between(F.col("i_start"), F.col("i_end"))
-        joined = at.join(F.broadcast(ranges), inside, "left")
-    else:
-        joined = point_join(at, ranges, small=small)
-        if join == "left":
-            lone = at.join(joined.select("sample_name", F.col("chrom"), F.col("start"), F.col("end")).distinct(), ["sample_name", "chrom", "start", "end"], "left_anti")
-            joined = joined.unionByName(lone, allowMissingColumns=True)
+    joined = point_join(at, ranges, how="left" if join == "left" else "inner")
     sums = [F.sum("num_calls").alias("num_calls"), *summed_counts(specs)]
     out = joined.select("sample_name", "region_name", "i_chrom", "i_start", "r_end", "num_calls", *names).groupBy(*keys).agg(F.count(F.lit(1)).alias("num_CpGs"), *sums)
     if join == "right" and min_num_calls <= 0:
-        who = _usable(calls, chrs, samples).select(F.col("sample_name").alias("__s")).distinct() if samples is None else calls.sparkSession.createDataFrame([(s,) for s in samples], "__s string").join(calls.select(F.col("sample_name").alias("__s")).distinct(), "__s", "left_semi")
-        every = who.join(F.broadcast(ranges) if small else ranges, how="cross").select("__s", "region_name", F.col("i_chrom").alias("chrom"), F.col("i_start").alias("start"), F.col("r_end").alias("end"))
+        present = {r[0] for r in (_usable(calls, chrs, None) if samples is None else calls).select("sample_name").distinct().collect()}  # one row a sample
+        who = sorted(x for x in present if x is not None and (samples is None or x in samples))
+        every = ranges.select(F.explode(F.array(*map(F.lit, who)).cast("array<string>")).alias("__s"), "region_name", F.col("i_chrom").alias("chrom"), F.col("i_start").alias("start"), F.col("r_end").alias("end"))
         same = (every["__s"] == out["sample_name"]) & every["region_name"].eqNullSafe(out["region_name"]) & (every["chrom"] == out["chrom"]) & (every["start"] == out["start"]) & (every["end"] == out["end"])
         lone = every.join(out, same, "left_anti").drop("__s")
         out = out.unionByName(lone.withColumns({"num_CpGs": F.lit(1).cast("long"), "num_calls": F.lit(0).cast("long"), **{n: F.lit(0).cast("long") for n in names}}), allowMissingColumns=True)

@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import paths
+
 #: probabilities of the quantile tables (fixed values)
 QUANTILES = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99, 0.995, 0.999, 1.0]
 
@@ -38,6 +40,16 @@ def flag_counts(calls: DataFrame) -> DataFrame:
     return n.withColumn("percent", F.col("n") / F.sum("n").over(Window.partitionBy()) * 100)  # one row a flag value
 
 
+def archive_report(spark: SparkSession, files, log_file: str | None = None, min_reads: Sequence[int] = (1, 5, 10, 15), call_prob_threshold: float = 0.9, base_qual_threshold: float = 10) -> dict[str, DataFrame]:
+    """Statistics, coverage and flags of archives, by their paths and unfiltered; with log_file also as a text there."""
+    calls = spark.read.parquet(*[path for _, path in paths.resolve(spark, files)])
+    report = {"stats": archive_stats(calls, call_prob_threshold, base_qual_threshold), "coverage": coverage_by_threshold(calls, min_reads), "flags": flag_counts(calls).orderBy("flag")}
+    if log_file:
+        tables = [f"{name}\n{df.toPandas().to_string(index=False)}\n" for name, df in report.items()]  # a row, one a threshold, one a flag value
+        paths.write_text(spark, log_file, "\n".join([f"archives: {files}\n", *tables]))
+    return report
+
+
 def quantiles(df: DataFrame, value: Column) -> DataFrame:
     """(prob, value): exact, interpolated linearly, from distinct values and their frequencies; rows with a null are left out."""
     counts = df.dropna().groupBy(value.cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
@@ -62,12 +74,13 @@ def summary(df: DataFrame, value: Column) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, max_rows: int | None, seed: int = 0, check: bool = True) -> DataFrame:
-    """A random sample of max_rows rows; more than there are is an error unless check is off."""
+    """The max_rows rows first in the order of a hash of the seed and their texts and whole numbers, whatever the partitions; more than there are is an error unless check is off."""
     if max_rows is None:
         return df
     if check and df.count() < max_rows:
         raise ValueError("max_rows is larger than the table")
-    return df.orderBy(F.rand(seed)).limit(max_rows)
+    exact = [c for c, t in df.dtypes if t in ("string", "boolean") or t.endswith("int")] or df.columns
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in exact]))).limit(max_rows)
 
 
 def volcano_raster(diff: DataFrame, bins: int = 100) -> DataFrame:
@@ -136,7 +149,7 @@ def kde_grid(diff: DataFrame, x: str = "mh_frac_case", y: str = "mh_frac_control
     quart = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
     s = points.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("a").alias("da"), F.stddev_samp("b").alias("db"), quart("a").alias("qa"), quart("b").alias("qb")).first()
     if s["n"] < 20:
-        raise ValueError("Too few points for a density surface.")
+        raise ValueError("a density needs 20 points at least")
     width = [1.06 * min(d, (q[1] - q[0]) / 1.34) * s["n"] ** -0.2 for d, q in ((s["da"], s["qa"]), (s["db"], s["qb"]))]
     if min(width) <= 0:
         raise ValueError("The points do not spread in both directions.")

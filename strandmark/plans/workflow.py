@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import differential
@@ -10,21 +12,28 @@ from ..sources import sinks
 from . import qc
 
 
-def run_qc(db, call_type: str = "positions", value: str = "m_frac", max_rows: int | None = None) -> dict[str, DataFrame]:
-    """Coverage, modified fractions, correlation and PCA of a table; for calls, positions are built first."""
+def coverage_plot(df: DataFrame) -> dict[str, DataFrame]:
+    """What a plot of coverage draws: quantiles, and bins of log10 calls."""
+    return {"coverage": qc.quantiles(df, F.col("num_calls")), "coverage_hist": qc.histogram(df, F.log10("num_calls"), 0.25)}
+
+
+def fraction_plot(df: DataFrame) -> dict[str, DataFrame]:
+    """What a plot of modified fractions draws: quantiles, and bins of percentages."""
+    frac = qc.fraction_column(df)
+    return {"modfrac": qc.quantiles(df, frac), "modfrac_hist": qc.histogram(df, frac, 10)}
+
+
+def run_qc(db, call_type: str = "positions", value: str = "m_frac", max_rows: int | None = None, sample_order: Sequence[str] | None = None, agg_fun: Callable[[str], Column] = F.avg) -> dict[str, DataFrame]:
+    """Coverage, modified fractions, correlation and PCA of a table; for calls, positions are built first. The correlation keeps sample_order, and the samples in it."""
     if call_type == "calls":
         db.summarize_positions()
         call_type = "positions"
     df = qc.sample_rows(db.table(call_type), max_rows)
-    frac = qc.fraction_column(df)
-    return {
-        "coverage": qc.quantiles(df, F.col("num_calls")),
-        "coverage_hist": qc.histogram(df, F.log10("num_calls"), 0.25),
-        "modfrac": qc.quantiles(df, frac),
-        "modfrac_hist": qc.histogram(df, frac, 10),
-        "correlation": qc.sample_correlation(df, value, call_type=call_type),
-        "pca": qc.sample_pca(df, value),
-    }
+    correlation = qc.sample_correlation(df, value, agg_fun, call_type=call_type)
+    if sample_order is not None:
+        place = {c: F.array_position(F.array(*map(F.lit, sample_order)), F.col(c)) for c in ("sample_x", "sample_y")}
+        correlation = correlation.where((place["sample_x"] > 0) & (place["sample_y"] > 0)).orderBy(*place.values())
+    return coverage_plot(df) | fraction_plot(df) | {"correlation": correlation, "pca": qc.sample_pca(df, value)}
 
 
 def significant_rows(table: DataFrame, diff: DataFrame, p_val_max: float = 0.05) -> DataFrame:

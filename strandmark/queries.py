@@ -11,10 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .database import Database
 from .functions import stats
 from .operators import differential, filters, summarize
 from .plans import qc, workflow
-from .sources.archive import ingest_filter, to_archive
+from .schema import CALL_TSV
+from .sources import paths, sinks
+from .sources.annotation import read_annotation
+from .sources.archive import ingest_filter, make_archive, to_archive
 
 CASES, CONTROLS = ["case1", "case2"], ["ctrl1", "ctrl2"]
 
@@ -65,9 +69,15 @@ def _windows(spark, sf_dir):
     return summarize.windows(good(spark, sf_dir), step_size=100)
 
 
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """A written table, as workflows read them."""
+    path = paths.new_path(df.sparkSession, label)
+    sinks.write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _diff(spark, sf_dir, calc_type="fast_fisher", **args):
-    # a stored table in a workflow; here the validation of names and the test would both build it
-    return differential.calc_diff(_windows(spark, sf_dir).persist(), CASES, CONTROLS, calc_type=calc_type, **args)
+    return differential.calc_diff(_stored(_windows(spark, sf_dir), "windows"), CASES, CONTROLS, calc_type=calc_type, **args)
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -92,6 +102,45 @@ def _bh(spark, sf_dir):
     return _rounded(stats.bh_adjust(p), 9)
 
 
+def _archives(spark, sf_dir) -> str:
+    """A folder of archives of two samples, made from call tables."""
+    raw, folder = _view(spark, sf_dir, _RAW), paths.new_path(spark, "archives")
+    for i, sample in enumerate(("s1", "s2")):
+        raw.where(F.col("ref_position") % 2 == i).select(*CALL_TSV.fieldNames()).write.option("sep", "\t").option("header", True).csv(f"{folder}/{sample}.tsv")
+        make_archive(spark, f"{folder}/{sample}.tsv", sample, f"{folder}/ch3")
+    return f"{folder}/ch3"
+
+
+def _ingested(spark, sf_dir) -> Database:
+    return Database.create(spark, paths.new_path(spark, "db"), [_archives(spark, sf_dir)], min_call_prob=0.95)
+
+
+def _annotation_file(spark, sf_dir, end: str) -> str:
+    df = annotation(spark, sf_dir).select("chrom", "start", "end", *(["region_name"] if end != "bed" else []))
+    path = f"{paths.new_path(spark, 'regions')}.{end}"
+    df.coalesce(1).write.option("sep", "," if end == "csv" else "\t").option("header", end == "csv").csv(path)
+    return path
+
+
+def _of_calls(spark, sf_dir) -> Database:
+    """A database of the good calls."""
+    db = Database(spark, paths.new_path(spark, "db"))
+    return db.write(good(spark, sf_dir), "calls", partition_by=["sample_name"])
+
+
+def _csv_round_trip(spark, sf_dir):
+    db = _of_calls(spark, sf_dir).summarize_positions()
+    file = db.export("positions", f"{db.root}-out/")[0]
+    return spark.read.option("header", True).schema(db.table().schema).csv(file)
+
+
+def _analysis(spark, sf_dir):
+    db = _of_calls(spark, sf_dir)
+    files = db.run_analysis(f"{db.root}-out", cases=CASES, controls=CONTROLS, call_type="windows", step_size=100)
+    found = spark.read.option("header", True).option("inferSchema", True).csv(files["Sig_CpGs"])
+    return _rounded(found.withColumns({c: F.col(c).cast("long") for c in ("start", "end", "num_windows")}))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "archive_coords": lambda s, d: to_archive(_view(s, d, _RAW), "s1"),
     "ingest_filter": lambda s, d: ingest_filter(calls(s, d), chrom=["chr1", "chr2"], min_read_length=500, min_call_prob=0.95, flag=0),
@@ -123,20 +172,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coverage_hist": lambda s, d: qc.histogram(summarize.positions(good(s, d)), F.log10("num_calls"), 0.25),
     "modfrac_hist": lambda s, d: (lambda p: qc.histogram(p, qc.fraction_column(p), 10))(summarize.positions(good(s, d))),
     "diff_fast_fisher": lambda s, d: _rounded(_diff(s, d)),
-    "diff_positions": lambda s, d: _rounded(differential.calc_diff(summarize.positions(good(s, d)).persist(), CASES, CONTROLS, calc_type="fast_fisher")),
+    "diff_positions": lambda s, d: _rounded(differential.calc_diff(_stored(summarize.positions(good(s, d)), "positions"), CASES, CONTROLS, calc_type="fast_fisher")),
     "diff_r_fisher": lambda s, d: _rounded(_diff(s, d, "r_fisher")),
     "diff_wilcoxon": lambda s, d: _rounded(_diff(s, d, "wilcox")),
     "diff_log_reg": lambda s, d: _rounded(_diff(s, d, "log_reg")),
     "bh_adjust": _bh,
     "collapse_windows": lambda s, d: _rounded(_collapsed(s, d)),
-    "classify_reads": lambda s, d: differential.classify_reads(summarize.reads(good(s, d)), _collapsed(s, d).persist()),
+    "classify_reads": lambda s, d: differential.classify_reads(summarize.reads(good(s, d)), _stored(_collapsed(s, d), "key")),
     "sample_corr": lambda s, d: _rounded(qc.sample_correlation(_windows(s, d), call_type="windows")),
     "sample_corr_positions": lambda s, d: _rounded(qc.sample_correlation(summarize.positions(good(s, d)), "mh_frac")),
     "volcano_raster": lambda s, d: qc.volcano_raster(_rounded(_diff(s, d))),
     "significant_rows": lambda s, d: workflow.significant_rows(_windows(s, d), _rounded(_diff(s, d))),
     "sample_pca": _pca,
-    "kde_grid": lambda s, d: qc.kde_grid(_diff(s, d)),
+    "kde_grid": lambda s, d: qc.kde_grid(_diff(s, d)).withColumn("z", F.round("z", 5)),
     "sample_rows": lambda s, d: qc.sample_rows(summarize.positions(good(s, d)), 100),
+    "archives_to_calls": lambda s, d: _ingested(s, d).table("calls"),
+    "archive_report": lambda s, d: _rounded(qc.archive_report(s, _archives(s, d))["stats"]),
+    "annotation_csv": lambda s, d: read_annotation(s, _annotation_file(s, d, "csv")),
+    "annotation_bed": lambda s, d: read_annotation(s, _annotation_file(s, d, "bed")),
+    "regions_from_file": lambda s, d: _of_calls(s, d).summarize_regions(_annotation_file(s, d, "tsv")).table(),
+    "reads_from_key_table": lambda s, d: _of_calls(s, d).summarize_reads(regions_table=_annotation_file(s, d, "csv"), min_CGs=2).table(),
+    "csv_round_trip": _csv_round_trip,
+    "run_analysis": _analysis,
+    "rename_preview": lambda s, d: filters.rename_preview(summarize.positions(good(s, d)), {"case1": "treated", "case2": "treated"}),
+    "sql_table": lambda s, d: _of_calls(s, d).sql("SELECT chrom, COUNT(*) AS n, MAX(start) AS last FROM calls WHERE sample_name LIKE 'case%' GROUP BY chrom"),
 }
 
 
@@ -249,6 +308,28 @@ def _corr_sql(table: str, value: str, missing: str) -> str:
     SELECT a.sample_name AS sample_x, b.sample_name AS sample_y, round(corr(a.v, b.v), 6) AS corr FROM cell a JOIN cell b ON a.chrom = b.chrom AND a.start = b.start GROUP BY ALL""".replace("t.value", f"t.{value}")
 
 
+_TSV = f"""{_WITH}, arch AS (SELECT CASE ref_position % 2 WHEN 0 THEN 's1' ELSE 's2' END AS sample_name, regexp_replace(read_id, '^.*-', '') AS read_id, chrom, CASE WHEN ref_mod_strand = '-' AND query_kmer = 'CG' THEN ref_position - 1 ELSE ref_position END AS start,
+      CASE WHEN ref_mod_strand = '+' AND query_kmer = 'CG' THEN ref_position + 2 ELSE ref_position + 1 END AS "end", forward_read_position AS read_position, query_kmer, call_code, read_length, call_prob, base_qual, flag
+      FROM raw WHERE NOT (ref_mod_strand = '-' AND ref_position = 0))"""
+_STATS = """SELECT COUNT(*) AS num_calls, COUNT(DISTINCT read_id) AS num_reads, round(AVG(read_length), 6) AS avg_read_length, COUNT(*) FILTER (call_prob >= 0.9) AS high_conf_calls, round(COUNT(*) FILTER (call_prob >= 0.9) / COUNT(*) * 100, 6) AS high_conf_percent,
+      COUNT(*) FILTER (base_qual >= 10) AS high_qual_calls, round(COUNT(*) FILTER (base_qual >= 10) / COUNT(*) * 100, 6) AS high_qual_percent FROM"""
+#: erfc of a non-negative x: the series of erf, from 4 on an asymptotic one
+_ERFC_WIDE = """CASE WHEN x < 4 THEN 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 120), lambda j: exp(j * ln(2) + (2 * j + 1) * ln(greatest(x, 1e-300)) - (lgamma(2 * j + 2) - j * ln(2) - lgamma(j + 1)))))
+      ELSE exp(-x * x) / (x * sqrt(pi())) * (1 - 1 / (2 * x * x) + 3 / (4 * pow(x, 4)) - 15 / (8 * pow(x, 6)) + 105 / (16 * pow(x, 8))) END"""
+_G = " + ".join(f"CASE WHEN {c} > 0 THEN 2 * {c} * ln({c} * CAST(tot AS DOUBLE) / ({r} * CAST({k} AS DOUBLE))) ELSE 0 END" for c, r, k in (("mh_counts_case", "num_calls_case", "mod"), ("c_counts_case", "num_calls_case", "un"), ("mh_counts_control", "num_calls_control", "mod"), ("c_counts_control", "num_calls_control", "un")))
+
+
+def _log_reg() -> str:
+    pooled = _fisher(_TAILS).split("cells AS")[0].rstrip().rstrip(",")
+    return f"""{_WINW}, {pooled}, wide AS (SELECT *, mh_counts_case + mh_counts_control AS mod, c_counts_case + c_counts_control AS un, num_calls_case + num_calls_control AS tot FROM dat),
+    rooted AS (SELECT *, sqrt(greatest({_G}, 0) / 2) AS x FROM wide),
+    tested AS (SELECT chrom, start, "end", num_calls_case, num_calls_control, mh_counts_case, mh_counts_control, c_counts_case, c_counts_control,
+      CASE WHEN num_calls_case > 0 THEN mh_counts_case / num_calls_case END AS mh_frac_case, CASE WHEN num_calls_control > 0 THEN mh_counts_control / num_calls_control END AS mh_frac_control,
+      CASE WHEN num_calls_case > 0 AND num_calls_control > 0 THEN mh_counts_case / num_calls_case - mh_counts_control / num_calls_control END AS meth_diff,
+      CASE WHEN num_calls_case > 0 AND num_calls_control > 0 THEN {_ERFC_WIDE} END AS p_val FROM rooted),
+    diff AS ({_adjusted("tested")})"""
+
+
 _CUSTOM = {"u": "'-', 'h'", "a": "'a'", "mh": "'m', 'h'"}
 ORACLES: dict[str, str] = {
     "archive_coords": f"""{_WITH} SELECT 's1' AS sample_name, regexp_replace(read_id, '^.*-', '') AS read_id, chrom, CASE WHEN ref_mod_strand = '-' AND query_kmer = 'CG' THEN ref_position - 1 ELSE ref_position END AS start,
@@ -276,8 +357,7 @@ ORACLES: dict[str, str] = {
     "cpg_count": f"""{_WITH} SELECT COUNT(*) AS num_cpgs FROM (SELECT DISTINCT start, "end" FROM good)""",
     "cpg_count_by_chrom": f"""{_WITH} SELECT COUNT(*) AS num_cpgs FROM (SELECT DISTINCT chrom, start, "end" FROM good)""",
     "table_info": f"{_WITH} SELECT sample_name, COUNT(*) AS num_rows FROM good GROUP BY ALL",
-    "archive_stats": f"""{_WITH} SELECT COUNT(*) AS num_calls, COUNT(DISTINCT read_id) AS num_reads, round(AVG(read_length), 6) AS avg_read_length, COUNT(*) FILTER (call_prob >= 0.9) AS high_conf_calls, round(COUNT(*) FILTER (call_prob >= 0.9) / COUNT(*) * 100, 6) AS high_conf_percent,
-      COUNT(*) FILTER (base_qual >= 10) AS high_qual_calls, round(COUNT(*) FILTER (base_qual >= 10) / COUNT(*) * 100, 6) AS high_qual_percent FROM calls""",
+    "archive_stats": f"{_WITH} {_STATS} calls",
     "coverage_by_threshold": f"{_WITH}, loci AS (SELECT chrom, start, COUNT(*) AS n FROM calls GROUP BY ALL) SELECT CAST(x AS BIGINT) AS min_reads, COUNT(*) FILTER (n >= x) AS covered, round(COUNT(*) FILTER (n >= x) / COUNT(*) * 100, 6) AS percent FROM loci, (SELECT unnest([1, 5, 10, 15]) AS x) GROUP BY x",
     "flag_counts": f"{_WITH} SELECT flag, COUNT(*) AS n, round(COUNT(*) / (SELECT COUNT(*) FROM calls) * 100, 6) AS percent FROM calls GROUP BY flag",
     "coverage_quantiles": _quantile_sql("num_calls"),
@@ -300,4 +380,20 @@ ORACLES: dict[str, str] = {
       edge AS (SELECT MIN(x) AS x0, MAX(x) AS x1, MIN(y) AS y0, MAX(y) AS y1 FROM pts)
       SELECT CAST(least(floor((x - x0) / ((x1 - x0) / 100)), 99) AS BIGINT) AS x_bin, CAST(least(floor((y - y0) / ((y1 - y0) / 100)), 99) AS BIGINT) AS y_bin, COUNT(*) AS n FROM pts, edge GROUP BY ALL""",
     "significant_rows": f"{_DIFFW} SELECT win.* FROM win JOIN diff USING (chrom, start) WHERE round(diff.p_val, 6) <= 0.05",
+    "diff_log_reg": f"{_log_reg()} SELECT {_FISHER_COLS}, {_ROUND} FROM diff",
+    "kde_grid": f"""{_DIFFW}, pts AS (SELECT mh_frac_case AS a, mh_frac_control AS b FROM diff WHERE mh_frac_case IS NOT NULL AND mh_frac_control IS NOT NULL),
+      wide AS (SELECT COUNT(*) AS n, 1.06 * least(stddev_samp(a), (quantile_cont(a, 0.75) - quantile_cont(a, 0.25)) / 1.34) * pow(COUNT(*), -0.2) AS ha, 1.06 * least(stddev_samp(b), (quantile_cont(b, 0.75) - quantile_cont(b, 0.25)) / 1.34) * pow(COUNT(*), -0.2) AS hb FROM pts),
+      few AS (SELECT a, b, COUNT(*) AS w FROM pts GROUP BY a, b), grid AS (SELECT i, i / 249.0::DOUBLE AS g FROM range(0, 250) t(i))
+      SELECT x.i / 249.0::DOUBLE AS x, y.i / 249.0::DOUBLE AS y, round(SUM(w * exp(-pow((x.g - a) / ha, 2) / 2) * exp(-pow((y.g - b) / hb, 2) / 2) / (2 * pi() * n * ha * hb)), 5) AS z FROM few, wide, grid x, grid y GROUP BY x.i, y.i""",
+    "sample_rows": f"""{_POSW} SELECT * FROM pos ORDER BY md5(concat_ws('|', '0', sample_name, chrom, start, "end", num_calls, {", ".join(_NAMES)})) LIMIT 100""",
+    "archives_to_calls": f"{_TSV} SELECT * FROM arch WHERE read_length >= 50 AND call_prob >= 0.95 AND base_qual >= 10",
+    "archive_report": f"{_TSV} {_STATS} arch",
+    "annotation_csv": f"WITH {_ANN} SELECT * FROM ann",
+    "annotation_bed": f"""WITH {_ANN} SELECT * REPLACE (concat(chrom, '_', start, '_', "end") AS region_name) FROM ann""",
+    "regions_from_file": f"{_WITH}, {_ANN} {_reg('JOIN')}",
+    "reads_from_key_table": f"""{_WITH}, {_ANN} {_reads('good c JOIN ann k ON c.chrom = k.chrom AND c.start BETWEEN k.start AND k."end"', 2)}""",
+    "csv_round_trip": f"{_WITH} {_pos()}",
+    "run_analysis": f"{_DIFFW}, {_COLLAPSE} SELECT chrom, start, \"end\", {', '.join(f'round(avg_{v}_{s}, 6) AS avg_{v}_{s}' for v in _AVG if v != 'num_calls' for s in ('case', 'control'))}, round(avg_meth_diff, 6) AS avg_meth_diff, num_windows FROM merged",
+    "rename_preview": f"{_POSW} SELECT sample_name, CASE WHEN sample_name LIKE 'case%' THEN 'treated' ELSE sample_name END AS new_name, COUNT(*) AS num_rows FROM pos GROUP BY sample_name",
+    "sql_table": f"{_WITH} SELECT chrom, COUNT(*) AS n, MAX(start) AS last FROM good WHERE sample_name LIKE 'case%' GROUP BY chrom",
 }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import SparkSession
@@ -13,6 +15,22 @@ def hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, it becomes a temporary folder if driver and executor are one process, and is an error otherwise."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
+        root = "file://" + tempfile.mkdtemp(prefix="strandmark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = hadoop(spark, path)
     return bool(fs.exists(p))
@@ -63,3 +81,10 @@ def resolve(spark: SparkSession, files: str | Sequence[str] | Mapping[str, str])
             found = [str(fs.getFileStatus(p).getPath().toString())]
         out += [(name or sample_name(f), f) for f in found]
     return out
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = hadoop(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()

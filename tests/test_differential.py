@@ -11,6 +11,11 @@ from hypothesis import strategies as st
 from strandmark.functions import stats
 from strandmark.operators import differential
 
+
+def one(fn, *args):
+    """A test of one row."""
+    return fn(*[[a] for a in args])[0]
+
 TWO_LOCI = [(s, "chr1", p, p + 1, n, m) for p, rows in ((100, ((10, 7), (12, 8), (11, 3), (9, 4))), (200, ((8, 2), (10, 2), (12, 6), (7, 3)))) for s, (n, m) in zip(("case1", "case2", "ctrl1", "ctrl2"), rows, strict=True)]
 SCHEMA = "sample_name string, chrom string, start long, end long, num_calls long, mh_counts long"
 CASES, CONTROLS = ["case1", "case2"], ["ctrl1", "ctrl2"]
@@ -24,8 +29,8 @@ def two(spark):
 @pytest.mark.parametrize("table,mid,exact", [((7, 3, 3, 7), 0.10095477278, 0.17889540800), ((8, 2, 4, 6), 0.09478447249, 0.16980233389), ((10, 0, 0, 10), 5.412544e-06, 1.0825088e-05), ((12, 5, 8, 15), 0.03154055057, 0.05355099258)])
 def test_known_tables(table, mid, exact):
     a, b, c, d = table
-    assert stats.mid_p(b, a + b, c + d, b + d) == pytest.approx(mid, rel=1e-6)
-    assert stats.fisher_exact(a, b, c, d) == pytest.approx(exact, rel=1e-6)
+    assert one(stats.mid_p, b, a + b, c + d, b + d) == pytest.approx(mid, rel=1e-6)
+    assert one(stats.fisher_exact, a, b, c, d) == pytest.approx(exact, rel=1e-6)
 
 
 @settings(max_examples=60, deadline=None)
@@ -37,17 +42,31 @@ def test_p_values_equal_exact_rationals(table):
     total = sum(ways.values())
     half = Fraction(ways[a], 2)
     tail = min(sum(v for i, v in ways.items() if i > a) + half, sum(v for i, v in ways.items() if i < a) + half)
-    assert stats.mid_p(a, m, n, k) == pytest.approx(float(2 * tail / total), abs=1e-10)
-    assert stats.fisher_exact(a, b, c, d) == pytest.approx(float(Fraction(sum(v for v in ways.values() if v <= ways[a] * (1 + 1e-7)), total)), abs=1e-9)
+    assert one(stats.mid_p, a, m, n, k) == pytest.approx(float(2 * tail / total), abs=1e-10)
+    assert one(stats.fisher_exact, a, b, c, d) == pytest.approx(float(Fraction(sum(v for v in ways.values() if v <= ways[a] * (1 + 1e-7)), total)), abs=1e-9)
 
 
 def test_rank_sum():
-    assert stats.rank_sum([1, 2], [3, 4]) == pytest.approx(1 / 3)
-    assert stats.rank_sum([1, 2, 3], [4, 5, 6, 7]) == pytest.approx(2 / math.comb(7, 3))
-    assert stats.rank_sum([], [1.0]) is None and math.isnan(stats.rank_sum([1, 1], [1]))
-    assert stats.rank_sum([1, 1, 2], [2, 3, 3]) == pytest.approx(math.erfc(3.5 / math.sqrt(4.8) / math.sqrt(2)))
+    assert one(stats.rank_sum, [1, 2], [3, 4]) == pytest.approx(1 / 3)
+    assert one(stats.rank_sum, [1, 2, 3], [4, 5, 6, 7]) == pytest.approx(2 / math.comb(7, 3))
+    assert math.isnan(one(stats.rank_sum, [], [1.0])) and math.isnan(one(stats.rank_sum, [1, 1], [1]))
+    assert one(stats.rank_sum, [1, 1, 2], [2, 3, 3]) == pytest.approx(math.erfc(3.5 / math.sqrt(4.8) / math.sqrt(2)))
     rng = np.random.default_rng(0)
-    assert stats.rank_sum(list(rng.normal(size=60)), list(rng.normal(1, size=60))) < 0.01
+    assert one(stats.rank_sum, list(rng.normal(size=60)), list(rng.normal(1, size=60))) < 0.01
+
+
+def test_rows_are_independent(monkeypatch):
+    monkeypatch.setattr(stats, "HELD", 50)
+    rng = np.random.default_rng(1)
+    tables = rng.integers(0, 30, (4, 200))
+    for fn in (stats.mid_p, stats.fisher_exact):
+        a, b, c, d = tables
+        args = (a, a + b, c + d, a + c) if fn is stats.mid_p else tables
+        assert fn(*args) == pytest.approx([one(fn, *r) for r in zip(*args, strict=True)], abs=1e-13)
+    x, y = ([list(rng.integers(0, 6, rng.integers(0, 5)) / 4) for _ in range(100)] for _ in range(2))
+    assert stats.rank_sum(x, y) == pytest.approx([one(stats.rank_sum, u, v) for u, v in zip(x, y, strict=True)], nan_ok=True)
+    grid = np.linspace(0, 12, 500)
+    assert stats.erfc(grid) == pytest.approx([math.erfc(v) for v in grid], rel=1e-10)
 
 
 def brute_rank_sum(x, y):
@@ -64,7 +83,7 @@ def brute_rank_sum(x, y):
 @given(st.lists(st.integers(0, 1000), min_size=2, max_size=8, unique=True), st.data())
 def test_rank_sum_equals_enumeration(values, data):
     k = data.draw(st.integers(1, len(values) - 1))
-    assert stats.rank_sum(values[:k], values[k:]) == pytest.approx(brute_rank_sum(values[:k], values[k:]))
+    assert one(stats.rank_sum, values[:k], values[k:]) == pytest.approx(brute_rank_sum(values[:k], values[k:]))
 
 
 def test_fisher_on_two_loci(two):
@@ -113,9 +132,7 @@ def brute_bh(p):
     return [None if v is None or math.isnan(v) else min(1.0, min(q[w] for w in ok if w >= v)) for v in p]
 
 
-@pytest.mark.parametrize("one_task", [1_000_000, 0])
-def test_bh(spark, monkeypatch, one_task):
-    monkeypatch.setattr(stats, "ONE_TASK", one_task)
+def test_bh(spark):
     rng = np.random.default_rng(1)
     for p in ([0.01, 0.02, 0.02, None, 0.5], [0.0, 0.0, 1e-300, 1.0, float("nan")], [None], rng.beta(0.3, 3, 400).tolist() + [1.0] * 20):
         got = [r.p_adjust for r in stats.bh_adjust(spark.createDataFrame([(i, v) for i, v in enumerate(p)], "i int, p_val double")).orderBy("i").collect()]

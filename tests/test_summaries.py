@@ -66,7 +66,6 @@ def test_windows_of_one_offset_partition_the_calls(make):
 def test_regions(make, spark, monkeypatch, large):
     if large:
         monkeypatch.setattr(intervals, "BROADCAST_ROWS", 0)
-        monkeypatch.setattr(summarize, "is_small", lambda df: False)
     df = make([call(10), call(20), call(21), call(900, sample="s2"), call(20, chrom="chr2")])
     ann = spark.createDataFrame([("1", 10, 20, "a"), ("1", 15, 30_000, "b"), ("2", 500, 600, "lonely"), ("3", 9, 5, "reversed")], "chrom string, start long, end long, region_name string")
     got = {(r.sample_name, r.region_name): r.num_CpGs for r in summarize.regions(df, ann).collect()}
@@ -93,6 +92,32 @@ def test_reads_and_the_compatible_bucket(make, spark):
     assert summarize.reads(df, min_length=2000).count() == 0
 
 
+def test_interval_joins_have_bins_as_keys(make, spark):
+    df = make([call(10)])
+    ann = spark.createDataFrame([("chr1", 10, 20, "a")], "chrom string, start long, end long, region_name string")
+    for out in (summarize.regions(df, ann), summarize.regions(df, ann, "left"), summarize.reads(df, ann)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [chrom" in plan and "__bin" in plan.split("BroadcastHashJoin [chrom")[1].split("\n")[0]
+
+
+def test_windows_match_plain_python(make):
+    import random
+
+    rng = random.Random(4)
+    df = make([call(rng.randint(1, 700), rng.choice("mh-")) for _ in range(300)])
+    at = [r.start for r in df.collect()]
+    for size, step in ((100, 10), (100, 30), (70, 69), (50, 50)):
+        want = {}
+        for o in range(1, size, step):
+            for p in set(at):
+                w = o if p < o else p - (p - o) % size
+                n, c = want.get(w, (0, 0))
+                want[w] = (n + 1, c + at.count(p))
+        got = summarize.windows(df, size, step)
+        assert {r.start: (r.num_CpGs, r.num_calls) for r in got.collect()} == want
+        assert got.count() == len(want)
+
+
 def test_binned_joins_equal_broadcast_joins(spark):
     import random
 
