@@ -15,6 +15,10 @@ def hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+#: folders of applications that name none
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Unset, it becomes a temporary folder if driver and executor are one process, and is an error otherwise."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,8 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
-        root = "file://" + tempfile.mkdtemp(prefix="strandmark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="strandmark-")
+        root = _LOCAL[app]
     return root.rstrip("/")
 
 
