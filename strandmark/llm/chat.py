@@ -8,7 +8,8 @@ equal conversations the smallest id stays. Only the survivors' texts are gathere
 Defined cases: turns are ordered by turn, role and text, nulls first; repeated rows are turns
 like others; a null text renders as empty and a null role as an empty name, but both hash
 apart from the empty string; rows with a null conv_id belong to no conversation and are left
-out. A conversation is one output row, so its turns are gathered, and it must fit in a string.
+out. A conversation is one output row, so its turns are gathered, and it must fit in a string;
+a text of any length is taken whole. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: three 40-bit lanes of an MD5 are summed separately, exact for up to 2^23 turns
 LANES = (1, 11, 21)
 
@@ -40,7 +43,7 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
 
 def maximal(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies): conversations that prefix no longer one, one of each group of equals."""
-    prefixes = prefix_hashes(turns)
+    prefixes = materialize(prefix_hashes(turns), "prefixes")  # read twice
     longer = prefixes.where("k < n").groupBy("k", "h").agg(F.lit(1).alias("one")).select("k", "h")
     whole = prefixes.where("k = n").groupBy("k", "h").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
     return whole.join(longer, ["k", "h"], "left_anti").select("conv_id", F.col("k").cast("long").alias("n_turns"), "n_copies")

@@ -7,8 +7,6 @@ their names, never reach its internal stages.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -30,24 +28,12 @@ WS[[0x20, *range(0x09, 0x0E)]] = True
 # ------------------------------------------------------------------ folders
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Unset, it becomes a temporary folder if driver and executor are one process, and is an error otherwise."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
-        root = "file://" + tempfile.mkdtemp(prefix="strandmark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 #: paths made inside each open scratch()
 _SCOPES: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = paths.new_path(spark, label)
     for scope in _SCOPES:
         scope.append(path)
     return path

@@ -1,36 +1,46 @@
 """Operator 2, benchmark decontamination with a distributed positional inverted index.
 
 The index is partitioned by document: each segment of a few MB of text keeps its sorted
-distinct terms (64-bit hashes), and for each term the delta-coded list of its positions.
-Segments are one table of binary columns in the shared folder. A search takes all windows
-of the benchmark against all segments: windows with an absent term are dropped, the rest
-start from the positions of their rarest term, less its offset, and intersect them with the
-offset-adjusted lists of the other terms, the rarer first. The benchmark is a stated query
-set, packed into blocks of bounded size that tasks read from the shared folder in turn, so
-nothing in memory grows with it.
+distinct terms (62-bit hashes), and for each term the delta-coded list of its positions.
+Segments are one table of binary columns in the shared folder. The benchmark is a stated query
+set, packed into blocks of windows. Each block's terms are first counted in the whole index, and
+its windows filed under their rarest term there (the anchor). A search then takes each block to
+each segment: of a block it touches only the windows whose anchor the segment holds, of those it
+drops the ones with an absent term, and the rest start from the positions of their rarest term in
+the segment, less its offset, and intersect them with the offset-adjusted lists of the other terms,
+the rarer first. So the work in a segment follows its own terms and true candidates, not the size
+of the benchmark. Blocks are of bounded size; tasks read them from the shared folder and keep as
+many as CACHE_BYTES allow.
 
 Defined cases: null texts have no words; null item ids are left out; an item without words
-matches nothing; equal items count by their id, equal ids count once; rows repeat as they are.
+matches nothing; equal items count by their id, equal ids count once; windows whose terms are equally
+rare are filed under the first of them; document rows repeat as they are; an empty table of documents
+gives no rows, an empty benchmark no hits; texts of any length are indexed whole, one over some MB in a
+segment of its own; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, counts_in, find, id_text, joined, materialize, path_of, read_blocks, runs, slices, small_batches, spark_schema
+from .segments import as_table, first_row, pack, pack_ints, spread, unpack, unpack_ints
 
 #: words in a window
 WINDOW = 10
 SEGMENT_BYTES = 2_000_000
 #: bytes of benchmark text in a block of queries
 BLOCK_BYTES = 2_000_000
+#: bytes of decoded blocks that a task keeps
+CACHE_BYTES = 256_000_000
 #: candidate positions that are intersected at once
 CHUNK = 2_000_000
 WORD = np.zeros(256, dtype=bool)
@@ -39,7 +49,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 INDEX = pa.schema([("doc_ids", pa.list_(pa.int64())), ("first", pa.binary()), ("terms", pa.binary()), ("sizes", pa.binary()), ("positions", pa.binary())])
-BLOCKS = pa.schema([("items", pa.list_(pa.string())), ("item", pa.binary()), ("length", pa.binary()), ("words", pa.binary())])
+#: for each window its item, its number of words and their hashes
+BLOCKS = pa.schema([("block", pa.int64()), ("items", pa.list_(pa.string())), ("item", pa.binary()), ("length", pa.binary()), ("words", pa.binary())])
+#: the same in the order of their anchors; first: where the windows of each distinct anchor begin
+FILED = pa.schema([*BLOCKS, pa.field("anchors", pa.binary()), pa.field("first", pa.binary())])
+#: occurrences in a part of the index of each distinct term of a block
+COUNTS = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("counts", pa.binary())])
+#: parts whose counts are summed first, so that no task sums those of all tasks
+PARTS = 1024
 HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("hit_spans", pa.list_(pa.list_(pa.int64())))])
 
 
@@ -51,14 +68,6 @@ def words_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return Rolling(buf).spans(start, end), counts_in(t0, t1, start)
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
-
-
-def _unpack(b: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=dtype)
-
-
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The postings table, one row for each segment, written to the shared folder."""
     small_batches(docs.sparkSession)
@@ -71,51 +80,160 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             head = np.flatnonzero(np.concatenate(([True], sorted_words[1:] != sorted_words[:-1]))) if len(words) else np.empty(0, dtype=np.int64)
             step = np.diff(order, prepend=0)
             step[head] = order[head]
-            row = [ids, _pack(np.concatenate(([0], np.cumsum(n)))), _pack(sorted_words[head]), _pack(np.diff(np.concatenate((head, [len(words)]))).astype(np.int32)), _pack(step.astype(np.int32))]
+            row = [ids, pack(np.concatenate(([0], np.cumsum(n)))), pack(sorted_words[head]), pack(np.diff(np.concatenate((head, [len(words)]))).astype(np.int32)), pack(step.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, INDEX, strict=True)], schema=INDEX)
 
     return materialize(id_text(docs, id_col, text_col).mapInArrow(run, spark_schema(INDEX)), "postings")
 
 
 def build_queries(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Blocks of windows: for each its item, its length and its words."""
+    """Blocks of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in slices(batches, BLOCK_BYTES):
+        number = TaskContext.get().partitionId() << 24
+        for k, (ids, texts) in enumerate(slices(batches, BLOCK_BYTES)):
             words, n = words_of(texts)
             first = np.concatenate(([0], np.cumsum(n)))
             item, length, rows = [], [], []
-            for k in range(len(ids)):
-                own = words[first[k] : first[k + 1]]
-                if len(own) and ids[k] is not None:
+            for i in range(len(ids)):
+                own = words[first[i] : first[i + 1]]
+                if len(own) and ids[i] is not None:
                     w = np.lib.stride_tricks.sliding_window_view(own, min(window, len(own)))
                     rows.append(np.pad(w, ((0, 0), (0, window - w.shape[1]))))
-                    item += [k] * len(w)
+                    item += [i] * len(w)
                     length += [w.shape[1]] * len(w)
             packed = np.concatenate(rows) if rows else np.empty((0, window), dtype=np.uint64)
-            row = [ids, _pack(np.array(item, dtype=np.int32)), _pack(np.array(length, dtype=np.int32)), _pack(packed)]
+            row = [number + k, ids, pack(np.array(item, dtype=np.int32)), pack(np.array(length, dtype=np.int32)), pack(packed)]
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, BLOCKS, strict=True)], schema=BLOCKS)
 
     rows = benchmark.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return materialize(rows.mapInArrow(run, spark_schema(BLOCKS)), "windows")
 
 
+class Block:
+    """Decoded windows of a row of BLOCKS, and their anchors if it is one of FILED."""
+
+    def __init__(self, row: dict):
+        self.items = row["items"]
+        self.item, self.length = unpack(row["item"], np.int32), unpack(row["length"], np.int32).astype(np.int64)
+        self.words = unpack(row["words"], np.uint64).reshape(len(self.length), -1) if len(self.length) else np.empty((0, 1), dtype=np.uint64)
+        self.real = np.arange(self.words.shape[1]) < self.length[:, None]
+        self.anchors, self.first = (unpack(row[c], t) if c in row else None for c, t in (("anchors", np.uint64), ("first", np.int64)))
+
+    def vocabulary(self) -> np.ndarray:
+        return np.unique(self.words[self.real])
+
+    def filed_under(self, terms: np.ndarray) -> np.ndarray:
+        """Windows whose anchor is among the sorted terms, in time that follows the shorter of both lists."""
+        few, many = (terms, self.anchors) if len(terms) < len(self.anchors) else (self.anchors, terms)
+        if not len(few):
+            return np.empty(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+        met = many[at] == few
+        k = at[met] if many is self.anchors else np.flatnonzero(met)
+        return spread(self.first[k], self.first[k + 1] - self.first[k])
+
+
+class Blocks:
+    """The blocks of a written table, read again and again; the first ones, as many as CACHE_BYTES allow, are kept."""
+
+    def __init__(self, path: str, schema: pa.Schema):
+        self.path, self.schema, self.held, self.more, self.bytes = path, schema, [], True, 0
+
+    def __iter__(self) -> Iterator[Block]:
+        yield from self.held
+        if not self.more:
+            return
+        seen, have = 0, len(self.held)
+        self.more = False
+        for batch in read_blocks(self.path, self.schema.names):
+            for row in batch.to_pylist():
+                seen += 1
+                if seen <= have:
+                    continue
+                block = Block(row)
+                self.bytes += block.words.nbytes + block.real.nbytes
+                if self.bytes <= CACHE_BYTES:
+                    self.held.append(block)
+                else:
+                    self.more = True
+                yield block
+
+
+def file_windows(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """The blocks with their windows filed under the term that is rarest in the whole index."""
+    blocks = path_of(queries)
+    small_batches(index.sparkSession)
+
+    def merge(terms: list, sizes: list) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *terms]), return_inverse=True)
+        return keys, np.bincount(at, weights=np.concatenate([np.empty(0), *sizes]), minlength=len(keys)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, sizes, held = [], [], 0
+        for b in batches:
+            for t, n in zip(b.column("terms").to_pylist(), b.column("sizes").to_pylist(), strict=True):
+                terms.append(unpack(t, np.uint64))
+                sizes.append(unpack(n, np.int32))
+                held += len(terms[-1])
+                if held > 4_000_000:
+                    t, n = merge(terms, sizes)
+                    terms, sizes, held = [t], [n], 0
+        if not terms:
+            return
+        keys, n = merge(terms, sizes)
+        part = TaskContext.get().partitionId() % PARTS
+        for batch in read_blocks(blocks, BLOCKS.names):
+            for row in batch.to_pylist():
+                at = find(keys, Block(row).vocabulary())
+                found = np.where(at >= 0, n[at] if len(n) else 0, 0)
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((row["block"], part, pack_ints(found)), COUNTS, strict=True)], schema=COUNTS)
+
+    def total(table: pa.Table) -> np.ndarray | int:
+        return sum(unpack_ints(x.as_py()) for x in table["counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        return as_table([[table["block"][0].as_py(), table["part"][0].as_py(), pack_ints(total(table))]], COUNTS)
+
+    def file(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = first_row(left)
+        q = Block(row)
+        vocabulary = q.vocabulary()
+        often = total(right) if right.num_rows else np.zeros(len(vocabulary), dtype=np.int64)
+        if not len(q.length):
+            return as_table([[*row.values(), pack(vocabulary), pack(np.zeros(1, dtype=np.int64))]], FILED)
+        at = np.minimum(np.searchsorted(vocabulary, q.words), len(vocabulary) - 1)
+        rare = np.where(q.real, often[at], np.iinfo(np.int64).max).argmin(axis=1)
+        anchor = q.words[np.arange(len(rare)), rare]
+        order = np.argsort(anchor, kind="stable")
+        anchors, first = np.unique(anchor[order], return_index=True)
+        return as_table([[row["block"], row["items"], pack(q.item[order]), pack(q.length[order].astype(np.int32)), pack(q.words[order]), pack(anchors), pack(np.append(first, len(order)).astype(np.int64))]], FILED)
+
+    counts = index.select("terms", "sizes").mapInArrow(count, spark_schema(COUNTS)).groupBy("block", "part").applyInArrow(add, spark_schema(COUNTS))
+    return materialize(queries.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(file, spark_schema(FILED)), "filed-windows")
+
+
 class Segment:
-    """Postings of one segment: the list of term t is positions[start[t]:start[t + 1]], ascending."""
+    """Postings of one segment: the list of term t is positions[start[t]:start[t + 1]], ascending. Lists are decoded when one is asked for."""
 
     def __init__(self, row: dict):
-        self.ids = row["doc_ids"]
-        self.first = _unpack(row["first"], np.int64)
-        self.terms = _unpack(row["terms"], np.uint64)
-        sizes = _unpack(row["sizes"], np.int32)
-        self.start = np.concatenate(([0], np.cumsum(sizes)))
-        step = _unpack(row["positions"], np.int32).astype(np.int64)
+        self.ids, self.packed = row["doc_ids"], row["positions"]
+        self.first = unpack(row["first"], np.int64)
+        self.terms = unpack(row["terms"], np.uint64)
+        self.sizes = unpack(row["sizes"], np.int32)
+        self.start = np.concatenate(([0], np.cumsum(self.sizes)))
+
+    @functools.cached_property
+    def positions(self) -> np.ndarray:
+        step = unpack(self.packed, np.int32).astype(np.int64)
         total = np.cumsum(step)
-        self.sizes = sizes
-        before = total[self.start[:-1]] - step[self.start[:-1]] if len(sizes) else np.empty(0, dtype=np.int64)
-        self.positions = total - np.repeat(before, sizes)
-        # one ascending key over all lists, so that many lists are searched in one call
-        self.keys = (np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) << 32) | self.positions
+        before = total[self.start[:-1]] - step[self.start[:-1]] if len(self.sizes) else np.empty(0, dtype=np.int64)
+        return total - np.repeat(before, self.sizes)
+
+    @functools.cached_property
+    def keys(self) -> np.ndarray:
+        """One ascending key over all lists, so that many lists are searched in one call."""
+        return (np.repeat(np.arange(len(self.sizes), dtype=np.int64), self.sizes) << 32) | self.positions
 
     def starts(self, term: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For rows of rarest terms: (row, position) of their postings, some at a time."""
@@ -165,9 +283,11 @@ class Segment:
         return np.concatenate(found_w), np.concatenate(found_p)
 
     def near(self, words: np.ndarray, length: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, first position) of spans of length + slop words of a document that hold all the window's words, in any order."""
+        """(window, first position) of spans of length + slop words of a document that hold all the window's words, each as often as the window does, in any order."""
         alive, term, size, order = self.lists(words, length)
         every = np.arange(len(alive))
+        real = np.arange(words.shape[1]) < length[alive][:, None]
+        times = ((term[:, :, None] == term[:, None, :]) & real[:, None, :]).sum(axis=2)  # how often a window has each of its words
         found = set()
         for row, pos in self.starts(term[every, order[:, 0]], size[every, order[:, 0]]):
             doc = self.doc_of(pos)
@@ -176,11 +296,11 @@ class Segment:
                 p = np.maximum(pos - back, self.first[doc])
                 stop = np.minimum(p + span, self.first[doc + 1])
                 ok = back < span
-                for j in range(1, words.shape[1]):
+                for j in range(words.shape[1]):
                     k = order[row, j]
                     t = np.maximum(term[row, k], 0)
-                    at = np.searchsorted(self.keys, (t << 32) | p)
-                    hit = (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] < ((t << 32) | stop))
+                    last = np.searchsorted(self.keys, (t << 32) | p) + times[row, k] - 1
+                    hit = (last < len(self.keys)) & (self.keys[np.minimum(last, len(self.keys) - 1)] < ((t << 32) | stop))
                     ok &= hit | (length[alive[row]] <= j)
                 found.update(zip(alive[row[ok]].tolist(), p[ok].tolist(), strict=True))
         pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
@@ -190,29 +310,30 @@ class Segment:
 def search(index: DataFrame, queries: DataFrame, slop: int | None = None) -> DataFrame:
     """One row for each document: words, words inside matches, matching items, match spans (word positions, end exclusive).
 
-    Matches are exact phrases, or with slop also spans of at most that many more words that hold all of a window's words.
+    Matches are exact phrases, or with slop also spans of at most that many more words that hold all of a window's words, repeated ones as often.
     """
-    blocks = path_of(queries)
+    filed = path_of(file_windows(index, queries))
     small_batches(index.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(filed, FILED)
         for batch in batches:
             for row in batch.to_pylist():
                 seg = Segment(row)
                 total = int(seg.first[-1])
                 edge = np.zeros(total + 1, dtype=np.int64)
                 matched: dict[int, set] = {}
-                for block in read_blocks(blocks, BLOCKS.names):
-                    for q in block.to_pylist():
-                        length = _unpack(q["length"], np.int32).astype(np.int64)
-                        item = _unpack(q["item"], np.int32)
-                        words = _unpack(q["words"], np.uint64).reshape(len(length), -1) if len(length) else np.empty((0, 1), dtype=np.uint64)
-                        for w, p, more in [(*seg.phrases(words, length), 0)] + ([] if slop is None else [(*seg.near(words, length, slop), slop)]):
-                            np.add.at(edge, p, 1)
-                            doc = seg.doc_of(p)
-                            np.add.at(edge, np.minimum(p + length[w] + more, seg.first[doc + 1]), -1)
-                            for d, i in set(zip(doc.tolist(), item[w].tolist(), strict=True)):
-                                matched.setdefault(d, set()).add(q["items"][i])
+                for block in blocks:
+                    near = block.filed_under(seg.terms)
+                    if not len(near):
+                        continue
+                    words, length, item = block.words[near], block.length[near], block.item[near]
+                    for w, p, more in [(*seg.phrases(words, length), 0)] + ([] if slop is None else [(*seg.near(words, length, slop), slop)]):
+                        np.add.at(edge, p, 1)
+                        doc = seg.doc_of(p)
+                        np.add.at(edge, np.minimum(p + length[w] + more, seg.first[doc + 1]), -1)
+                        for d, i in set(zip(doc.tolist(), item[w].tolist(), strict=True)):
+                            matched.setdefault(d, set()).add(block.items[i])
                 hit = np.cumsum(edge[:-1]) > 0
                 n_hit = np.diff(np.concatenate(([0], np.cumsum(hit)))[seg.first])
                 starts, ends = runs(hit)

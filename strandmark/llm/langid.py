@@ -8,7 +8,10 @@ the least out-of-place distance; an n-gram that a profile lacks costs the profil
 Defined cases: a null text or one without letters is `und` with score 0, and so is
 every text if nothing was learned; equal counts rank by code points, equal distances go
 to the first language in sorted order; rows with a null language teach nothing; a null
-doc_id hashes as the empty string. Training texts are whole and never sampled.
+doc_id hashes as the empty string. Training texts are whole and never sampled; texts of any length
+are counted whole, one over some MB in a slice of its own. Repeated rows teach as often as they
+occur and are predicted alike; an empty table teaches nothing and gives no rows; other columns pass
+through predict, but for those of the names that it appends.
 """
 
 from __future__ import annotations
@@ -188,3 +191,18 @@ def op4_language_id(spark, sf_dir: str) -> DataFrame:
     held = split_by_crc(docs, 4) == 2
     profiles = learn(docs.where(~held))
     return predict(docs.select("doc_id", "text", held.alias("held_out")), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+#: CRC-32 bit by bit
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+OP4_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, {_CRC} % 4 = 2 AS held_out, text IS NOT NULL AS present, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+'), ' ') || ' ' AS s FROM documents),
+parts AS (SELECT r, substr(s, o, {200 + max(SIZES) - 1}) AS s FROM (SELECT r, s, unnest(range(1, length(s) + 1, 200)) AS o FROM d WHERE length(s) > 2)),
+grams AS (SELECT r, g, count(*) AS c FROM (SELECT r, n, substr(s, k, n) AS g FROM (SELECT r, s, n, unnest(range(1, least(length(s), 200) + 1)) AS k FROM parts, (SELECT unnest({list(SIZES)}) AS n))) WHERE length(g) = n AND g <> ' ' GROUP BY r, g),
+learned AS (SELECT * FROM (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(c) DESC, g) AS k FROM grams JOIN d USING (r) WHERE NOT held_out AND present AND lang IS NOT NULL GROUP BY lang, g) WHERE k <= {PROFILE}),
+mine AS (SELECT * FROM (SELECT r, g, row_number() OVER (PARTITION BY r ORDER BY c DESC, g) AS k FROM grams) WHERE k <= {PROFILE}),
+far AS (SELECT r, l.lang, count(*) AS size, sum(least(coalesce(abs(p.k - m.k), {PROFILE}), {PROFILE})) AS far FROM mine m CROSS JOIN (SELECT DISTINCT lang FROM learned) l LEFT JOIN learned p ON p.lang = l.lang AND p.g = m.g GROUP BY r, l.lang),
+best AS (SELECT r, lang, 1 - CAST(far AS DOUBLE) / (size * {PROFILE}) AS score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY far, lang) AS k FROM far) WHERE k = 1)
+SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(score, 0) AS score FROM d LEFT JOIN best USING (r)
+"""

@@ -3,11 +3,14 @@
 A source's mean repetition rate is target share x output size / source size. A document's
 uniform number is hashed from seed and id and put through the inverse Poisson distribution
 of that mean; the document is exploded by the count and all copies are dealt to
-partitions and sorted by a hash, a global shuffle of one exchange.
+partitions and sorted by a hash of id, copy and text, a global shuffle of one exchange.
 
 Defined cases: a null source is a source of its own; a null or empty text has size 0 and
 is drawn at its source's rate; a source of size 0 has rate 1; rows with equal (or null)
-ids draw the same count; ties in the shuffle order are broken by id and copy.
+ids draw the same count. Rows that agree in id, copy and text tie in the shuffle order and lie next to
+each other, if they have an id; those without are dealt to partitions by their place in the input, so that
+any number of them is spread. An empty table gives no rows; texts of any length pass whole; columns
+mix_copy and mix_order of the input are replaced, all others pass.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free, materialize
 
 #: without given weights, a source's weight is its size to this power
 TEMPERATURE = 0.5
@@ -64,20 +67,22 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, te
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs' columns with mix_copy (1..n) and mix_order (the key of the shuffle); rows come in shuffled order."""
-    rates = source_rates(docs, weights, temperature, source_col, text_col).select(F.col("source").alias("__source"), "cdf", "draws")
-    rates = materialize(rates.select(F.struct("*").alias("__rate")), "rates")
+    docs = docs.drop("mix_copy", "mix_order")
+    rate, count, salt = (free(n, docs) for n in ("rate", "count", "salt"))
+    # rows without id are numbered once, in a written table: a number that a lost task gave anew would move rows
+    numbered = materialize(docs.where(F.col(id_col).isNull()).withColumn(salt, F.monotonically_increasing_id()), "without-id")
+    docs = docs.where(F.col(id_col).isNotNull()).withColumn(salt, F.lit(None).cast("long")).unionByName(numbered)
+    rates = source_rates(docs, weights, temperature, source_col, text_col)
+    rates = materialize(rates.select(F.struct("source", "cdf", "draws").alias(rate)), "rates")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     doc_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    copies = F.aggregate(
-        F.sequence(F.lit(1), F.col("__rate.draws")),
-        F.lit(0),
-        lambda n, d: n + F.size(F.filter(F.col("__rate.cdf"), lambda c: c <= unit(seed, d.cast("string"), doc_id))),
-    )
-    drawn = docs.drop("mix_copy", "mix_order").join(rates, F.col(source_col).cast("string").eqNullSafe(F.col("__rate.__source")))
-    drawn = drawn.withColumn("__n", copies).drop("__rate").where("__n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
-    order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), doc_id, F.col("mix_copy").cast("string")))
-    return drawn.withColumn("mix_order", order).repartition(F.col("mix_order")).sortWithinPartitions("mix_order", id_col, "mix_copy")
+    numbers = F.transform(F.sequence(F.lit(1), F.col(f"{rate}.draws")), lambda d: unit(seed, d.cast("string"), doc_id))
+    copies = F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter(F.col(f"{rate}.cdf"), lambda c: c <= u)))
+    drawn = docs.join(rates, F.col(source_col).cast("string").eqNullSafe(F.col(f"{rate}.source")))
+    drawn = drawn.withColumn(count, copies).drop(rate).withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col(count)))).where("mix_copy > 0").drop(count)
+    order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), doc_id, F.col("mix_copy").cast("string"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+    return drawn.withColumn("mix_order", order).repartition("mix_order", salt).sortWithinPartitions("mix_order", id_col, "mix_copy").drop(salt)
 
 
 def op8_poisson_mix(spark, sf_dir: str) -> DataFrame:
@@ -97,6 +102,6 @@ tables AS (SELECT source, draws, list(c ORDER BY k) AS cdf FROM cdf GROUP BY sou
 drawn AS (SELECT d.doc_id, d.source, d.text,
             CAST(list_sum(list_transform(range(1, t.draws + 1), lambda j: len(list_filter(t.cdf, lambda c: c <= CAST(concat('0x', substr(md5(concat('{SEED}:', j, ':', coalesce(CAST(d.doc_id AS VARCHAR), ''))), 1, 13)) AS BIGINT) / {float(1 << 52)}))) ) AS INT) AS n
           FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, source, CAST(j AS INT) AS mix_copy, md5(concat('order{SEED}:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', j)) AS mix_order, sha256(coalesce(text, '')) AS text_sha256
+SELECT doc_id, source, CAST(j AS INT) AS mix_copy, md5(concat('order{SEED}:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', j, ':', md5(coalesce(text, '')))) AS mix_order, sha256(coalesce(text, '')) AS text_sha256
 FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM drawn WHERE n > 0)
 """

@@ -4,9 +4,13 @@ Rolling hashes of word n-grams (one multiply-add per length) mark n-grams and li
 that repeat within a document; the verdict looks at the share of the document's word
 characters inside repeats. Everything is computed on whole texts, in slices of a few MB.
 
+Lines that seem to repeat are compared by their bytes. Words of n-grams are compared by 62-bit hashes.
+
 Defined cases: a null or empty text has zero of everything and fails the base rule;
 a null doc_id is kept as null; repeated rows give one row each; ties cannot occur
-(the most frequent n-gram is measured by the largest covered length).
+(the most frequent n-gram is measured by the largest covered length); an empty table gives
+no rows; a text of any length is measured whole, one over some MB in a slice of its own; other
+columns are not read by quality_report, and pass through quality_filter.
 """
 
 from __future__ import annotations
@@ -55,6 +59,17 @@ def not_first(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[later]
 
 
+def equal_before(buf: np.ndarray, doc: np.ndarray, begins: np.ndarray, ends: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Of the lines `among`, those with the same bytes as an earlier one of their document."""
+    seen, out = set(), []
+    for k, d, a, b in zip(among.tolist(), doc[among].tolist(), begins[among].tolist(), ends[among].tolist(), strict=True):
+        line = (d, buf[a:b].tobytes())
+        if line in seen:
+            out.append(k)
+        seen.add(line)
+    return np.array(out, dtype=np.int64)
+
+
 def measure(ids: list, texts: list) -> dict:
     buf, t0, t1 = joined(texts)
     m = len(ids)
@@ -76,7 +91,7 @@ def measure(ids: list, texts: list) -> dict:
     begins, ends = begins[has_word], ends[has_word]
     line_doc = np.searchsorted(t1, begins)
     keys = mix(rolling.spans(begins, ends) ^ mix(line_doc.astype(np.uint64) + np.uint64(7)))
-    later = not_first(keys, repeated(keys))
+    later = equal_before(buf, line_doc, begins, ends, repeated(keys))
     out["n_dup_lines"] = np.bincount(line_doc[later], minlength=m)
     lchars = chars_before[ends] - chars_before[begins]
     out["dup_line_frac"] = out["n_dup_lines"] / np.maximum(np.bincount(line_doc, minlength=m), 1)
@@ -136,3 +151,27 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_N = sorted({3, *TOP, *DUPLICATED})
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS k, length(unnest(w)) AS c FROM d),
+size AS (SELECT d.r, len(w) AS n_words, CAST(coalesce(sum(c), 0) AS BIGINT) AS word_chars FROM d LEFT JOIN words USING (r) GROUP BY d.r, len(w)),
+lines AS (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY k) > 1 AS dup FROM (SELECT r, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS line FROM (SELECT r, string_split(text, chr(10)) AS l FROM d)) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+by_line AS (SELECT r, count(*) AS n_lines, count(*) FILTER (dup) AS n_dup, sum(length(line)) AS c, coalesce(sum(length(line)) FILTER (dup), 0) AS dup_c FROM lines GROUP BY r),
+grams AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT unnest({_N}) AS n) WHERE len(w) >= n)),
+often AS (SELECT *, count(*) OVER (PARTITION BY r, n, g) AS times, row_number() OVER (PARTITION BY r, n, g ORDER BY k) AS turn FROM grams),
+again AS (SELECT * FROM often WHERE times > 1),
+top AS (SELECT r, n, max(times * (length(g) - n + 1)) AS best FROM again GROUP BY r, n),
+inside AS (SELECT DISTINCT r, n, unnest(range(k, k + n)) AS k FROM again WHERE n IN ({", ".join(map(str, DUPLICATED))}) AND turn > 1),
+share AS (SELECT r, n, sum(c) AS c FROM inside JOIN words USING (r, k) GROUP BY r, n),
+windows AS (SELECT r, count(DISTINCT k) AS n_repeat FROM (SELECT r, unnest(range(k, k + 3)) AS k FROM again WHERE n = 3) GROUP BY r),
+wide AS (SELECT s.r, {", ".join([f"coalesce(max(best) FILTER (t.n = {n}), 0) / greatest(word_chars, 1) AS top_{n}gram_frac" for n in TOP])} FROM size s LEFT JOIN top t USING (r) GROUP BY s.r, word_chars),
+dups AS (SELECT s.r, {", ".join([f"coalesce(max(h.c) FILTER (h.n = {n}), 0) / greatest(word_chars, 1) AS dup_{n}gram_frac" for n in DUPLICATED])} FROM size s LEFT JOIN share h USING (r) GROUP BY s.r, word_chars),
+measured AS (SELECT d.doc_id, n_words, word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words,
+    coalesce(n_dup / n_lines, 0) AS dup_line_frac, coalesce(dup_c / greatest(l.c, 1), 0) AS dup_line_char_frac, wide.* EXCLUDE (r), dups.* EXCLUDE (r)
+  FROM d JOIN size USING (r) JOIN wide USING (r) JOIN dups USING (r) LEFT JOIN by_line l USING (r) LEFT JOIN windows USING (r)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured)
+SELECT *, NOT base_failed AND dup_line_char_frac <= {DUP_LINE_CHARS} AND {" AND ".join([f"top_{n}gram_frac <= {x}" for n, x in TOP.items()] + [f"dup_{n}gram_frac <= {x}" for n, x in DUPLICATED.items()])} AS kept FROM failed
+"""

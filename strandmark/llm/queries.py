@@ -15,8 +15,11 @@ QUERIES = {
     "op10_suffix_dedup": suffix.op10_suffix_dedup,
 }
 ORACLES = {
+    "op1_quality_rules": quality.OP1_SQL,
     "op2_decontamination": decontaminate.OP2_SQL,
+    "op4_language_id": langid.OP4_SQL,
     "op5_warc_index": warc.OP5_SQL,
     "op8_poisson_mix": mixing.OP8_SQL,
     "op9_chat_snapshots": chat.OP9_SQL,
+    "op10_suffix_dedup": suffix.OP10_SQL,
 }

@@ -6,8 +6,14 @@ begins. Rules with an embedded checksum or structure are validated before they c
 Bare hex runs have no keyword: they are found as runs of hex bytes. A private key reaches
 from its BEGIN line to its END line, whatever lies between (headers, escaped newlines).
 
+Checks: GitHub and npm tokens by their embedded CRC-32, JSON web tokens by the JSON of both parts.
+Slack tokens and private keys hold no checksum: the first are known by their parts, the second by
+their two lines, as an encrypted or damaged body is a secret too.
+
 Defined cases: a null text is empty and has no spans; a null doc_id is kept as null;
-repeated rows give one row each; spans that start together sort by the order of KINDS.
+repeated rows give one row each; spans that start together sort by the order of KINDS; an empty
+table gives no rows; texts of any length are scanned whole; other columns are not read by
+secret_spans, and pass through redact_secrets.
 Offsets are code points, end exclusive. ASCII letters only are matched in either case.
 """
 
@@ -116,8 +122,9 @@ def scan(text: bytes) -> list[tuple[int, str, int]]:
                 free[kind] = end
                 found.append((at, KINDS.index(kind), end))
         elif m := pattern.match(text, at):
-            free[kind] = m.end()
-            if counts(m):
+            good = counts(m)
+            free[kind] = m.start(2) if kind == "jwt" and not good else m.end()  # a token may begin with the second part
+            if good:
                 found.append((at, KINDS.index(kind), m.end()))
         elif kind == "jwt" and text.startswith(b"eyJ", at):  # a later start in this run of token characters meets the same end
             free[kind] = JWT_RUN.match(text, at).end()

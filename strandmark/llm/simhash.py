@@ -21,7 +21,8 @@ similar already connect it: only verified pairs unite. The sets lie in files of
 
 Defined cases: a null, empty or blank text has fingerprint 0, linked like any other; fewer
 words than a shingle make one shingle; repeated rows get one row each; null ids count as
-larger than any other and get their component's smallest id, null if it has none.
+larger than any other and get their component's smallest id, null if it has none; an empty table gives
+no rows; texts of any length are fingerprinted whole; other columns are not read.
 """
 
 from __future__ import annotations

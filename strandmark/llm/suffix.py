@@ -486,3 +486,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT r, doc_id, o, substr(h, 2 * o + 1, {2 * (200 + LENGTH - 1)}) AS h FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2, 200)) AS o FROM d)),
+windows AS (SELECT r, doc_id, o + k AS k, substr(h, 2 * k + 1, {2 * LENGTH}) AS w FROM (SELECT r, doc_id, o, h, unnest(range(0, least(len(h) // 2 - {LENGTH - 1}, 200))) AS k FROM parts WHERE len(h) >= {2 * LENGTH})),
+again AS (SELECT r, k FROM (SELECT r, k, doc_id, min(doc_id) OVER (PARTITION BY w) AS least FROM windows) WHERE least < coalesce(doc_id, {NO_ID})),
+marked AS (SELECT r, k, coalesce(k > lag(k) OVER (PARTITION BY r ORDER BY k) + {LENGTH}, TRUE) AS new FROM again),
+numbered AS (SELECT r, k, sum(CAST(new AS INT)) OVER (PARTITION BY r ORDER BY k) AS run FROM marked),
+spans AS (SELECT r, min(k) AS a, max(k) + {LENGTH} AS b FROM numbered GROUP BY r, run),
+pieces AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS last FROM spans),
+kept AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS head FROM pieces JOIN d USING (r) GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""

@@ -13,7 +13,8 @@ its lines and range-reads the records. A key with a third of all captures is man
 
 Defined cases: a null html is an empty payload; a null url has the empty key; a null page_id
 never wins against another and is archived as an empty field; rows with the same payload and
-the same largest page_id are all responses; repeated rows give one record each.
+the same largest page_id are all responses; repeated rows give one record each; an empty table
+gives no files and no rows; a payload of any length is one record; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import filesystem, materialize, new_path, path_of, read_blocks, small_batches, spark_schema
 
 MIN_REVISIT = 1000
+#: the rows of a digest that occurs often meet its newest id in so many places
+SALTS = 16
 BLOCK = 1000
 #: a task starts another archive file beyond this size
 ARCHIVE_BYTES = 1 << 30
@@ -118,8 +121,10 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html"))
     again = rows.where(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "newest")
-    rows = rows.join(again, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest")).alias("refers_to"))
-    small_batches(spark, rows=500)
+    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    rows = rows.join(again, ["digest", "salt"], "left").select("page_id", "url", "html", "digest", F.when(F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest")).alias("refers_to"))
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = filesystem(folder)
@@ -152,7 +157,7 @@ def build_index(captures: DataFrame, block: int = BLOCK) -> DataFrame:
     folder = new_path(spark, "index")
     ordered = captures.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
 
-    small_batches(spark, rows=block)
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = filesystem(folder)

@@ -1,9 +1,13 @@
 """Operators 2 and 5 against plain Python, SQL and round trips."""
 
 import hashlib
+import random
 import re
+from collections import Counter
 
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 
 from strandmark.llm import decontaminate, warc
 
@@ -60,6 +64,50 @@ def test_proximity(spark):
     assert (exact, near) == (set(), {1, 2})
 
 
+def test_proximity_of_repeated_words(spark):
+    """Against all spans: each word of the item as often as the item has it."""
+    rng = random.Random(2)
+    texts = ["x a y b z w", "a b a", "a x x a b", "b a a", None, "", *[" ".join(rng.choices("aabcx", k=rng.randint(1, 14))) for _ in range(60)]]
+    items = [(1, "a a b"), (2, "c c"), (3, "a b c a"), (4, "a")]
+    index = decontaminate.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    queries = decontaminate.build_queries(spark.createDataFrame(items, "item_id long, text string"))
+    for slop in (0, 1, 3):
+        got = {r.doc_id: r["items"] for r in decontaminate.search(index, queries, slop=slop).collect()}
+        for d, t in enumerate(texts):
+            w = (t or "").split()
+            want = [str(i) for i, x in items if any(not Counter(x.split()) - Counter(w[k : k + len(x.split()) + slop]) for k in range(len(w)))]
+            assert got[d] == want, (t, slop)
+
+
+def test_windows_are_filed_under_their_rarest_term(spark, docs, texts, monkeypatch):
+    bench = spark.createDataFrame(benchmark(texts), "item_id long, text string").repartition(3)
+    index, queries = decontaminate.build_index(docs), decontaminate.build_queries(bench)
+    often = Counter(w for t in texts for w in words(t))
+    h = dict(zip(decontaminate.words_of([" ".join(often).encode()])[0].tolist(), often, strict=True))
+    seen = 0
+    for row in decontaminate.file_windows(index, queries).collect():
+        block = decontaminate.Block(row.asDict())
+        anchor = np.repeat(block.anchors, np.diff(block.first))
+        for a, window, n in zip(anchor.tolist(), block.words.tolist(), block.length.tolist(), strict=True):
+            assert often.get(h.get(a), 0) == min(often.get(h.get(x), 0) for x in window[:n])
+            seen += 1
+    assert seen > 50
+    want = sorted(decontaminate.search(index, queries).drop("items", "hit_spans").collect())
+    monkeypatch.setattr(decontaminate, "CACHE_BYTES", 0)
+    assert sorted(decontaminate.search(index, queries).drop("items", "hit_spans").collect()) == want
+
+
+def test_repeated_rows_and_clashing_columns(spark, docs, texts):
+    bench = spark.createDataFrame(benchmark(texts), "item_id long, text string").withColumn("block", F.lit("x"))
+    want = sorted(decontaminate.contamination(docs, bench).drop("items", "hit_spans").collect())
+    clash = docs.withColumns({c: F.lit("x") for c in ("first", "terms", "positions", "n_hit")})
+    assert sorted(decontaminate.contamination(clash.union(clash), bench).drop("items", "hit_spans").collect()) == sorted(want * 2)
+    df = spark.createDataFrame(pages(), "page_id long, url string, html string")
+    clash = df.withColumns({c: F.lit("x") for c in ("digest", "salt", "newest", "key", "file", "refers_to")})
+    count = lambda x: Counter(r.key for r in warc.write_archives(x).collect())
+    assert count(clash) == count(df)
+
+
 def test_decontamination_empty_tables(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs, none).where("contaminated").count() == 0

@@ -64,3 +64,21 @@ def test_mixing_edges(spark, docs, empty):
     out = mixing.mix(clash)
     assert set(out.columns) == set(clash.columns) | {"mix_order"} and out.count() > 0
     assert mixing.mix(docs, {"s1": 1.0}).where("source IS NULL OR source <> 's1'").count() == 0
+
+
+def test_rows_without_id_are_spread(spark):
+    n = 3000
+    df = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit("same").alias("text"), (F.col("id") % 7).alias("rate"), F.lit("x").alias("__rate"), F.lit(1).alias("count"), F.lit(2).alias("salt"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = mixing.mix(df).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    total = sum(r["count"] for r in got)
+    assert len(got) == 4 and max(r["count"] for r in got) < 0.4 * total
+    assert mixing.mix(df).columns == [*df.columns, "mix_copy", "mix_order"]
+
+
+def test_one_md5_for_a_draw(spark, docs):
+    plan = mixing.mix(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f"cast({mixing.SEED} as string)") <= 1 and plan.count("conv(") == 1

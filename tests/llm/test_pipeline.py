@@ -3,8 +3,12 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from strandmark.llm import secrets
+from strandmark.llm.common import materialize
+from strandmark.sources import paths
 
 from .conftest import SCHEMA, prose
 from .test_index_ops import words
@@ -51,6 +55,40 @@ def test_stages_on_empty_and_clashing_tables(spark, empty, tmp_path):
             df = out
 
 
+INTERNAL = ["__id", "__key", "__rate", "__score", "__pred", "__n", "id", "key", "removed", "hit", "pred", "rate", "count", "salt", "cdf", "draws", "fp", "seg", "number", "gram", "size", "mark"]
+
+
+def test_stages_keep_columns_of_any_name(spark, docs, texts, tmp_path):
+    spark.createDataFrame([(1, texts[10])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = docs
+    clash = docs.withColumns({c: F.lit(f"<{c}>") for c in INTERNAL})
+    for name, stage in corpus_pipeline.STAGES:
+        plain, clash = (materialize(stage(spark, df, str(tmp_path)), name) for df in (plain, clash))
+        assert set(INTERNAL) <= set(clash.columns)
+        assert clash.where(" AND ".join(f"`{c}` = '<{c}>'" for c in INTERNAL)).count() == clash.count() == plain.count()
+        assert sorted(map(str, clash.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_language_id_rejects_foreign_text_and_names_languages(spark, tmp_path):
+    rng = random.Random(3)
+    parts = {"en": ["the", "ing", "er", "and", "th"], "de": ["sch", "ein", "ung", "der", "ich"]}
+    say = lambda lang, n: " ".join("".join(rng.choices(parts[lang], k=2)) for _ in range(n))
+    rows = [(i, say(lang, rng.randint(1, 60)), lang if i % 10 else None, "s", 0) for i in range(300) for lang in [("en", "de")[i % 2]]]
+    foreign = ["Я помню чудное мгновенье передо мной явилась ты", "ここには日本語の文章があります", "Ὦ ξεῖν ἀγγέλλειν Λακεδαιμονίοις", "12345 67890", None]
+    docs = spark.createDataFrame(rows + [(1000 + i, t, None, "s", 0) for i, t in enumerate(foreign)], SCHEMA)
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()}
+    assert kept == {i: ("en", "de")[i % 2] for i in range(300)}
+
+
+def test_run_leaves_one_table(spark, docs, tmp_path, monkeypatch):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "no such item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(paths, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    left = [p.name for p in (tmp_path / "shared").iterdir()]
+    assert len(left) == 1 and left[0].startswith("mix_sources")
+
+
 def test_near_dedup_of_rows_without_id(spark, tmp_path):
     rng = random.Random(9)
     a, b, c = (prose(rng, 60) for _ in range(3))

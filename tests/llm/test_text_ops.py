@@ -1,13 +1,18 @@
 """Operators 1, 3 and 4 against plain Python."""
 
+import base64
 import hashlib
+import json
+import random
 import re
+import string
 import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from strandmark.llm import langid, quality, secrets
+from strandmark.llm import common, langid, quality, secrets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -60,6 +65,81 @@ def test_quality_edges(spark, docs, empty):
     assert set(quality.quality_filter(clash).columns) == set(clash.columns)
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[k.bit_count() & 1] for k in range(n))
+
+
+def test_lines_that_collide_modulo_a_power_of_two(spark):
+    word, other = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    lines = [(1, f"{word}\n{other}\nend"), (2, f"{word}\n{word}\nend"), (3, f"{word} x y {other} x y")]
+    got = rows(quality.quality_report(spark.createDataFrame(lines, "doc_id long, text string")))
+    assert [got[i].n_dup_lines for i in (1, 2, 3)] == [0, 1, 0] and got[3].n_repeat_words == 0
+    buf = np.frombuffer((word + other).encode(), dtype=np.uint8)
+    ends = np.array([1024, 2048])
+    assert len(set(common.Rolling(buf).spans(ends - 1024, ends).tolist())) == 2
+
+
+def test_lines_are_compared_by_bytes():
+    buf = np.frombuffer(b"ab\ncd\nab\n", dtype=np.uint8)
+    every = np.arange(3)
+    assert quality.equal_before(buf, np.array([0, 0, 0]), np.array([0, 3, 6]), np.array([2, 5, 8]), every).tolist() == [2]
+    assert quality.equal_before(buf, np.array([0, 0, 1]), np.array([0, 3, 6]), np.array([2, 5, 8]), every).tolist() == []
+
+
+def test_batches_have_one_bound(spark, docs):
+    quality.quality_report(docs)
+    before = {k: spark.conf.get(k) for k in common.BATCH}
+    secrets.secret_spans(docs)
+    assert before == {k: spark.conf.get(k) for k in common.BATCH} == common.BATCH
+
+
+def brute_tokens(t):
+    """The method's kinds, each found by itself."""
+    out = []
+    for kind, letters in (("github", "gh[pousr]_"), ("npm", "npm_")):
+        for m in re.finditer(letters + r"([A-Za-z0-9]{36})(?![A-Za-z0-9])", t):
+            n, tail = zlib.crc32(m[1][:30].encode()), ""
+            for _ in range(6):
+                n, d = divmod(n, 62)
+                tail = (string.digits + string.ascii_uppercase + string.ascii_lowercase)[d] + tail
+            if tail == m[1][30:]:
+                out.append((m.start(), kind, m.end()))
+    out += [(m.start(), "slack", m.end()) for m in re.finditer(r"xox[abprs]-[0-9]{6,}-[A-Za-z0-9-]{10,}", t)]
+    out += [(m.start(), "pem", m.end()) for m in re.finditer(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----((?!-----BEGIN \1-----).)+?-----END \1-----", t, re.S)]
+    for m in re.finditer(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", t):
+        try:
+            if all(isinstance(json.loads(base64.urlsafe_b64decode(p + "=" * (-len(p) % 4))), dict) for p in m[0].split(".")[:2]):
+                out.append((m.start(), "jwt", m.end()))
+        except ValueError:
+            pass
+    return sorted(out)
+
+
+def test_method_kinds_match_brute_force():
+    rng = random.Random(3)
+    body = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+    part = lambda: base64.urlsafe_b64encode(json.dumps({"a": body(rng.randint(1, 9))}).encode()).decode().rstrip("=")
+    pieces = []
+    for _ in range(60):
+        b = body(30)
+        good = secrets.crc62(b.encode()).decode()
+        pieces += [f"ghp_{b}{good}", f"npm_{b}{good}", f"ghs_{b}{body(6)}", f"npm_{b}", f"xoxb-{rng.randint(10**5, 10**8)}-{body(12)}", f"{part()}.{part()}.{body(8)}", f"eyJ{body(9)}.{part()}.{body(4)}", f"-----BEGIN RSA PRIVATE KEY-----\n{body(20)}\n-----END RSA PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----", f"password={body(10)}", "a" * 40]
+    for _ in range(200):
+        text = "".join(rng.choice(pieces) + rng.choice([" ", "\n", ";", " é "]) for _ in range(12))
+        found = secrets.scan_points(text.encode())
+        assert [x for x in sorted((s, k, e) for s, k, e in found if k not in secrets.BASE)] == brute_tokens(text), text
+        covered = np.zeros(len(text), dtype=bool)
+        for s, _, e in found:
+            covered[s:e] = True
+        clean = secrets.redact(text.encode()).decode()
+        assert re.sub(r"\[\w+ removed\]", "", clean) == "".join(c for c, x in zip(text, covered, strict=True) if not x)
+
+
+def test_a_token_that_begins_with_the_second_part():
+    good = b"eyJ0eXAiOiJKV1QifQ.eyJzdWIiOiIxIn0.c2ln"
+    assert [k for _, k, _ in secrets.scan(b"eyJzzz." + good)] == ["jwt"]
+
+
 def brute_spans(t):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
@@ -143,6 +223,11 @@ def test_language_id_edges(spark, docs, empty):
     assert langid.predict(empty, langid.learn(docs)).count() == 0
     clash = docs.withColumn("gram", F.lit("x")).withColumn("score", F.lit("y"))
     assert langid.predict(clash, langid.learn(clash)).count() == docs.count()
+    twice = docs.union(docs)  # repeated rows teach as often, which changes no rank, and are predicted alike
+    profiles = langid.learn(docs)
+    assert sorted(langid.learn(twice).collect()) == sorted(profiles.collect())
+    key = lambda df: sorted((r.doc_id, r.lang_pred, r.score) for r in df.collect())
+    assert key(langid.predict(twice, profiles)) == sorted(2 * key(langid.predict(docs, profiles)))
 
 
 def test_language_id_held_out_accuracy(spark, tmp_path):
