@@ -7,7 +7,8 @@ value is a shard. More blocks make smaller shards; b grows with the number of fi
 In each shard a BK-tree is built (children keyed by their Hamming distance to the parent)
 and searched along the edges within the radius. A shard's tree goes to the one task that
 holds the shard, by the exchange: all trees together grow with the data, so they are never
-broadcast. Shards over a bound are tiled into pairs of chunks, which loses no pair either.
+broadcast. Shards over a bound are dealt anew by blocks of their other bits, and what is still over
+it is tiled into pairs of chunks; neither loses a pair.
 Linked fingerprints leave a shard as a star, and the stars are joined to components by
 minimum labels with pointer jumping, each round written to the shared folder.
 
@@ -324,9 +325,22 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     masks = shard_masks(distinct.count(), radius)
     tables = F.array(*[F.struct(F.lit(i).alias("which"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
     rows = distinct.select("fp", F.explode(tables).alias("s")).select("fp", "s.which", "s.key")
+    large = materialize(rows.groupBy("which", "key").count().where(F.col("count") > TILE).select("which", "key"), "hot-shards")
+    if not large.isEmpty():
+        # two of a shard differ in radius bits of the others at most: of radius + 1 blocks of those, one is equal
+        finer = [F.array(*[F.struct(F.lit(len(masks) + i * (radius + 1) + j).alias("which"), F.col("fp").bitwiseAND(F.lit(_signed(m | block))).alias("key")) for j, block in enumerate(other_blocks(m, radius + 1))]) for i, m in enumerate(masks)]
+        hot = rows.join(large, ["which", "key"], "left_semi").select("fp", F.explode(F.element_at(F.array(*finer), F.col("which") + 1)).alias("s")).select("fp", "s.which", "s.key")
+        rows = rows.join(large, ["which", "key"], "left_anti").select("fp", "which", "key").union(hot)
     return _search(rows, radius, ["fp"])
 
 
+def other_blocks(mask: int, blocks: int) -> list[int]:
+    """The bits outside the mask, cut into blocks."""
+    bits = [b for b in range(64) if not mask >> b & 1]
+    edges = [round(len(bits) * i / blocks) for i in range(blocks + 1)]
+    return [sum(1 << b for b in bits[edges[i] : edges[i + 1]]) for i in range(blocks)]
+
+
 def _search(rows: DataFrame, radius: int, words: list[str], similar: tuple | None = None) -> DataFrame:
     """Links inside the shards (which, key) of rows. A shard over TILE becomes the pairs of its chunks."""
     large = materialize(rows.groupBy("which", "key").count().where(F.col("count") > TILE).select("which", "key", F.ceil(F.col("count") / (TILE / 2)).cast("int").alias("chunks")), "large-shards")

@@ -138,6 +138,26 @@ def test_links_with_tiles_and_more_blocks(spark, monkeypatch):
         assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want))
 
 
+def test_a_hot_shard_is_dealt_anew(spark, monkeypatch):
+    """Fingerprints that agree in a block, some of them linked across any of the others."""
+    rng = np.random.default_rng(5)
+    prints = {int(x) >> 14 << 14 for x in rng.integers(0, 1 << 63, 400, dtype=np.uint64)}
+    for x in list(prints)[:80]:
+        for b in rng.integers(14, 64, 4):
+            x ^= 1 << int(b)
+        prints.add(x)
+    prints = sorted(prints)
+    want = brute_components(range(len(prints)), prints)
+    monkeypatch.setattr(simhash, "TILE", 100)
+    df = spark.createDataFrame([(simhash._signed(x),) for x in prints], "fp long")
+    label = {r.node: r.label for r in simhash.components(simhash.links(df)).collect()}
+    got = [label.get(simhash._signed(x), simhash._signed(x)) for x in prints]
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+    for m in simhash.shard_masks(1000):
+        blocks = simhash.other_blocks(m, 5)
+        assert sum(blocks) == (1 << 64) - 1 - m and max(b.bit_count() for b in blocks) - min(b.bit_count() for b in blocks) <= 1
+
+
 def test_similar_documents_recall_and_precision(spark, monkeypatch):
     """Groups of edited copies at Jaccard 0.8 to 0.95 of five-word shingles against independent texts of the same vocabulary."""
     import random

@@ -1,12 +1,15 @@
 """The pipeline against brute force over its stages."""
 
+import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandmark.llm import secrets
+from strandmark.llm import mixing, secrets
 from strandmark.llm.common import materialize
 from strandmark.sources import paths
 
@@ -42,7 +45,26 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
         assert r.text == secrets.redact(texts[i].encode()).decode() and r.n_chars == len(r.text)
         assert not re.search("password=", r.text)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in out} <= set(kept["scan_secrets"]) and len(out) > 10
+    assert sorted((r.doc_id, r.mix_copy, r.text) for r in out) == sorted(brute_mix(kept["scan_secrets"])) and len(out) > 10
+
+
+def brute_mix(rows):
+    """(id, copy, text): inverse Poisson of hashed numbers, at rates that give each source the square root of its size as weight."""
+    size = Counter()
+    for r in rows.values():
+        size[r.source] += len(r.text)
+    weights = {s: n**mixing.TEMPERATURE for s, n in size.items()}
+    for i, r in rows.items():
+        rate = weights[r.source] / sum(weights.values()) * sum(size.values()) / size[r.source]
+        assert rate <= mixing.MEAN  # a single draw
+        u = int(hashlib.md5(f"{mixing.SEED}:1:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        n, p = 0, math.exp(-rate)
+        total = p
+        while total <= u:
+            n += 1
+            p *= rate / n
+            total += p
+        yield from ((i, k, r.text) for k in range(1, n + 1))
 
 
 def test_stages_on_empty_and_clashing_tables(spark, empty, tmp_path):
