@@ -26,8 +26,9 @@ from strandmark.sources import paths
 
 #: words in a shingle, and the shingle similarity from which documents are near duplicates
 SHINGLE, SIMILARITY = 5, 0.8
-#: a text whose n-grams are this far from those of every learned language is rejected
-MIN_SCORE = 0.2
+#: a text whose n-grams are this far from those of every learned language is rejected: of 10,000 texts in learned languages
+#: the least score is 0.376, of texts in Italian, Finnish, Turkish, Hungarian, Polish and Russian and of random letters the largest 0.282
+MIN_SCORE = 0.3
 #: ids made for rows without one begin here
 LARGE = 1 << 62
 
