@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from strandmark.llm import segments
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -10,6 +12,12 @@ def prose(rng: random.Random, n: int) -> str:
     return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(n))
 
 
+@pytest.fixture(autouse=True)
+def narrow(monkeypatch):
+    """Small tables need few nodes; a test that asks for another fan sets its own."""
+    monkeypatch.setattr(segments, "FAN", 8)
+
+
 @pytest.fixture(scope="session")
 def texts() -> list:
     """Whole range of cases: null, empty, blank, copies, near copies, repeats, very long, no letters."""

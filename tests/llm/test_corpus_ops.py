@@ -41,19 +41,36 @@ def brute_dedup(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot,fan", [(50_000, 256), (5, 256), (1, 256), (5, 3)])
+@pytest.mark.parametrize("hot,fan", [(50_000, 256), (5, 8), (1, 8), (5, 3)])
 def test_suffix_dedup_matches_brute_force(docs, texts, monkeypatch, hot, fan):
     monkeypatch.setattr(suffix, "BLOCK", 100)
     monkeypatch.setattr(suffix, "HOT_DOCUMENTS", hot)
-    if fan == 3:  # a tree of many levels and groups
-        monkeypatch.setattr(segments, "FAN", fan)
-        monkeypatch.setattr(segments, "SEGMENT_BYTES", 10_000)
+    monkeypatch.setattr(segments, "FAN", fan)
+    if fan == 3:  # a tree of many levels
         monkeypatch.setattr(segments, "BUCKET_BYTES", 10_000)
-    got = suffix.suffix_dedup(docs)
+    got = suffix.suffix_dedup(docs.repartition(11) if fan == 3 else docs)
     cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == brute_dedup(list(enumerate(texts)))
 
 
+def test_a_tree_has_bounded_fan():
+    """Rows that segments and nodes write grow with the input, not with its square, and cover all of the hash."""
+    for size in (0, 1, 10**9, 3 * 10**10, 10**12, 10**14):
+        count = size // segments.SEGMENT_BYTES + 1
+        tree = segments.Tree(size, count)
+        buckets = math.prod(tree.fans)
+        assert buckets * segments.BUCKET_BYTES >= size and max(tree.fans) <= segments.FAN and tree.groups[-1] == 1
+        assert size <= 10**9 or buckets <= 3 * size / segments.BUCKET_BYTES
+        nodes = 1
+        for level, fan in enumerate(tree.fans):
+            senders = count if level == 0 else nodes * tree.groups[level - 1]
+            assert senders * fan <= 3 * segments.FAN * count  # rows of the level's exchange
+            nodes *= fan
+    h = np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    tree = segments.Tree(3 * 10**8, 75)
+    assert sorted(np.concatenate([at for _, at in tree.deal(h, 0)]).tolist()) == list(range(5000))
+
+
 def test_suffix_dedup_edges(spark, empty, texts):
     assert suffix.suffix_dedup(empty).count() == 0
     rows = [(5, texts[30]), (5, texts[30]), (None, texts[30]), (2, "x" * 50), (3, "x" * 51), (4, "x" * 49), (-1, "y" * 60 + texts[31])]
@@ -288,14 +305,13 @@ class BruteTree:
         return sum(math.log10(self.p(ctx, 0, (1 << b) | (s >> (8 - b)), (s >> (7 - b)) & 1)) for ctx, s in self.symbols(t) for b in range(8))
 
 
-@pytest.mark.parametrize("depth,fan", [(3, 256), (4, 3), (5, 256)])
+@pytest.mark.parametrize("depth,fan", [(3, 8), (4, 3), (5, 256)])
 def test_scores_match_brute_force(spark, texts, monkeypatch, depth, fan):
-    if fan == 3:  # a tree of many levels and groups
-        monkeypatch.setattr(segments, "FAN", fan)
-        monkeypatch.setattr(segments, "SEGMENT_BYTES", 3000)
+    monkeypatch.setattr(segments, "FAN", fan)
+    if fan == 3:  # a tree of many levels
         monkeypatch.setattr(segments, "BUCKET_BYTES", 3000)
     small = [t if t is None or len(t) < 3000 else t[:500] for t in texts[:60]]
-    df = spark.createDataFrame(list(enumerate(small)), "doc_id long, text string").repartition(3).withColumn("seg", F.lit("clash"))
+    df = spark.createDataFrame(list(enumerate(small)), "doc_id long, text string").repartition(11 if fan == 3 else 3).withColumn("seg", F.lit("clash"))
     got = {r.doc_id: r for r in lm.ctw_scores(df, depth).collect()}
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(small))]
     train = [t or "" for t, h in zip(small, held, strict=True) if not h]
