@@ -340,7 +340,7 @@ def _windows(load, tree: Tree, size: int):
     """The windows of a segment's hot K-grams, as _grams sends K-grams."""
 
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
+        if not left.num_rows or not any((unpack(v.as_py(), np.uint8) == VERY_COMMON).any() for v in right["values"]):
             return as_table([], COUNTED)
         c = Candidates(first_row(left), right, load, tree, size)
         return as_table(_count_rows(WINDOWS, c.row, tree, c.hot_hash, c.hot_doc), COUNTED)
