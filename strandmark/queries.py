@@ -330,6 +330,29 @@ def _log_reg() -> str:
     diff AS ({_adjusted("tested")})"""
 
 
+def _pca_sql() -> str:
+    """Eigenvectors of the samples' products by power iteration, each after the ones before are taken out; the last value of centred rows is 0."""
+    names, xs = [*CASES, *CONTROLS], range(4)
+    dot = lambda i, t: " + ".join(f"g{i}{j} * {t}{j}" for j in xs)
+    parts = [
+        "wide AS (SELECT " + ", ".join(f"AVG(m_frac) FILTER (sample_name = '{n}') AS s{i}" for i, n in enumerate(names)) + ' FROM win GROUP BY chrom, start, "end" HAVING ' + " AND ".join(f"COUNT(m_frac) FILTER (sample_name = '{n}') > 0" for n in names) + ")",
+        "scaled AS (SELECT " + ", ".join(f"(s{i} - AVG(s{i}) OVER ()) / stddev_samp(s{i}) OVER () AS s{i}" for i in xs) + " FROM wide)",
+        "centred AS (SELECT " + ", ".join(f"s{i} - (s0 + s1 + s2 + s3) / 4 AS s{i}" for i in xs) + " FROM scaled)",
+        "gram1 AS (SELECT " + ", ".join(f"SUM(s{i} * s{j}) AS g{i}{j}" for i in xs for j in xs) + " FROM centred)",
+    ]
+    for c in (1, 2, 3):
+        step = ", ".join(f"{dot(i, 'v')} AS w{i}" for i in xs)
+        norm = "sqrt(w0 * w0 + w1 * w1 + w2 * w2 + w3 * w3)"
+        parts += [
+            f"it{c} AS (SELECT 0 AS k, 0.9::DOUBLE AS v0, -0.3::DOUBLE AS v1, 0.2::DOUBLE AS v2, -0.7::DOUBLE AS v3 UNION ALL SELECT k + 1, " + ", ".join(f"w{i} / {norm}" for i in xs) + f" FROM (SELECT k, {step} FROM it{c}, gram{c} WHERE k < 3000))",
+            f"vec{c} AS (SELECT {c} AS pc, v0, v1, v2, v3, " + " + ".join(f"v{i} * ({dot(i, 'v')})" for i in xs) + f" AS value FROM it{c}, gram{c} WHERE k = 3000)",
+            f"gram{c + 1} AS (SELECT " + ", ".join(f"g{i}{j} - value * v{i} * v{j} AS g{i}{j}" for i in xs for j in xs) + f" FROM gram{c}, vec{c})",
+        ]
+    parts.append("vecs AS (SELECT * FROM vec1 UNION ALL SELECT * FROM vec2 UNION ALL SELECT * FROM vec3 UNION ALL SELECT 4, 0, 0, 0, 0, 0)")
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS sample_name, pc, v{i} AS v, value FROM vecs" for i, n in enumerate(names))
+    return f"{_WINW.replace('WITH', 'WITH RECURSIVE', 1)}, {', '.join(parts)} SELECT sample_name, CAST(pc AS INT) AS pc, round(abs(v * sqrt(value)), 4) AS score, round(sqrt(value / 3), 4) AS sdev, round(100 * value / (SELECT SUM(value) FROM vecs), 4) AS percent FROM ({rows})"
+
+
 _CUSTOM = {"u": "'-', 'h'", "a": "'a'", "mh": "'m', 'h'"}
 ORACLES: dict[str, str] = {
     "archive_coords": f"""{_WITH} SELECT 's1' AS sample_name, regexp_replace(read_id, '^.*-', '') AS read_id, chrom, CASE WHEN ref_mod_strand = '-' AND query_kmer = 'CG' THEN ref_position - 1 ELSE ref_position END AS start,
@@ -380,6 +403,7 @@ ORACLES: dict[str, str] = {
       edge AS (SELECT MIN(x) AS x0, MAX(x) AS x1, MIN(y) AS y0, MAX(y) AS y1 FROM pts)
       SELECT CAST(least(floor((x - x0) / ((x1 - x0) / 100)), 99) AS BIGINT) AS x_bin, CAST(least(floor((y - y0) / ((y1 - y0) / 100)), 99) AS BIGINT) AS y_bin, COUNT(*) AS n FROM pts, edge GROUP BY ALL""",
     "significant_rows": f"{_DIFFW} SELECT win.* FROM win JOIN diff USING (chrom, start) WHERE round(diff.p_val, 6) <= 0.05",
+    "sample_pca": _pca_sql(),
     "diff_log_reg": f"{_log_reg()} SELECT {_FISHER_COLS}, {_ROUND} FROM diff",
     "kde_grid": f"""{_DIFFW}, pts AS (SELECT mh_frac_case AS a, mh_frac_control AS b FROM diff WHERE mh_frac_case IS NOT NULL AND mh_frac_control IS NOT NULL),
       wide AS (SELECT COUNT(*) AS n, 1.06 * least(stddev_samp(a), (quantile_cont(a, 0.75) - quantile_cont(a, 0.25)) / 1.34) * pow(COUNT(*), -0.2) AS ha, 1.06 * least(stddev_samp(b), (quantile_cont(b, 0.75) - quantile_cont(b, 0.25)) / 1.34) * pow(COUNT(*), -0.2) AS hb FROM pts),
