@@ -188,15 +188,18 @@ def g_test_column(mod_case: Column, un_case: Column, mod_control: Column, un_con
     return F.when(some, F.pandas_udf(run, "double")(F.when(some, g)))
 
 
-def bh_adjust(df: DataFrame, p_col: str = "p_val", out: str = "p_adjust", weight: str | None = None) -> DataFrame:
-    """Benjamini-Hochberg adjustment over all rows, each standing for weight tests; null and NaN stay null and are not counted.
+#: rows whose p-values one task may order
+ONE_TASK = 1_000_000
 
-    Works on distinct p-values with their counts. They are ranked inside buckets of -log10(p), whose sums and
-    minima (at most 40,001 rows) are joined back: no task orders all values.
-    """
-    p = F.col(p_col)
-    valid = p.isNotNull() & ~F.isnan(p)
-    distinct = df.where(valid).groupBy(p.alias("__p")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n"))
+
+def _bh_global(distinct: DataFrame, out: str) -> DataFrame:
+    up = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = distinct.withColumn("__q", F.col("__p") * F.sum("__n").over(Window.partitionBy()) / F.sum("__n").over(up))
+    return ranked.select("__p", F.least(F.lit(1.0), F.min("__q").over(down)).alias(out))
+
+
+def _bh_bucketed(distinct: DataFrame, out: str) -> DataFrame:
     bucket = F.when(F.col("__p") <= 0, 40_000).otherwise(F.least(F.floor(-F.log10("__p") * 100), F.lit(39_999))).cast("int")
     distinct = distinct.withColumn("__b", bucket)
     up = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
@@ -206,5 +209,17 @@ def bh_adjust(df: DataFrame, p_col: str = "p_val", out: str = "p_adjust", weight
     above = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     least = ranked.groupBy("__b").agg(F.min("__q").alias("__m")).withColumn("__above", F.min("__m").over(above)).drop("__m")
     down = Window.partitionBy("__b").orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)
-    adjusted = ranked.join(F.broadcast(least), "__b").select("__p", F.least(F.lit(1.0), F.min("__q").over(down), F.col("__above")).alias(out))
+    return ranked.join(F.broadcast(least), "__b").select("__p", F.least(F.lit(1.0), F.min("__q").over(down), F.col("__above")).alias(out))
+
+
+def bh_adjust(df: DataFrame, p_col: str = "p_val", out: str = "p_adjust", weight: str | None = None) -> DataFrame:
+    """Benjamini-Hochberg adjustment over all rows, each standing for weight tests; null and NaN stay null and are not counted.
+
+    df is read three times: write it first if it is dear. Works on distinct p-values with their counts. Those of up to ONE_TASK
+    rows are ordered in one task; more are ranked inside buckets of -log10(p), whose sums and minima (at most 40,001 rows) are joined back.
+    """
+    p = F.col(p_col)
+    valid = p.isNotNull() & ~F.isnan(p)
+    distinct = df.where(valid).groupBy(p.alias("__p")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n"))
+    adjusted = _bh_bucketed(distinct, out) if df.count() > ONE_TASK else _bh_global(distinct, out)
     return df.drop(out).join(adjusted, F.when(valid, p) == F.col("__p"), "left").drop("__p")

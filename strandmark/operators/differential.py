@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..sources.sinks import stored
 from .intervals import overlap_join
 
 TESTS = ("wilcox", "fast_fisher", "r_fisher", "log_reg")
@@ -37,7 +38,7 @@ def calc_diff(df: DataFrame, cases: Sequence[str], controls: Sequence[str], mod_
     rows = df.select(*loci, side.alias("is_case"), "num_calls", F.col(f"{mod_type}_counts").alias("mod")).where("is_case IS NOT NULL")
     if calc_type == "wilcox":
         out = _wilcoxon(rows, loci, mod_type)
-        return stats.bh_adjust(out) if adjust else out
+        return stats.bh_adjust(stored(out, "tests")) if adjust else out
     return _pooled(rows, loci, mod_type, calc_type, adjust)
 
 
@@ -60,7 +61,7 @@ def _pooled(rows: DataFrame, loci: list[str], mod: str, calc_type: str, adjust:
     }[calc_type]()
     tables = dat.groupBy(*cells).agg(F.count(F.lit(1)).alias("__loci")).withColumn("p_val", test)
     if adjust:
-        tables = stats.bh_adjust(tables, weight="__loci")
+        tables = stats.bh_adjust(stored(tables, "tests"), weight="__loci")
     frac = {s: F.when(F.col(f"num_calls_{s}") > 0, F.col(f"{mod}_counts_{s}") / F.col(f"num_calls_{s}")) for s in sides}
     return dat.join(tables.drop("__loci"), cells).select(
         *loci, *[f"num_calls_{s}" for s in sides], *[f"{mod}_counts_{s}" for s in sides], *[f"{other}_{s}" for s in sides],

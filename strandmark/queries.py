@@ -69,15 +69,8 @@ def _windows(spark, sf_dir):
     return summarize.windows(good(spark, sf_dir), step_size=100)
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    """A written table, as workflows read them."""
-    path = paths.new_path(df.sparkSession, label)
-    sinks.write_table(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _diff(spark, sf_dir, calc_type="fast_fisher", **args):
-    return differential.calc_diff(_stored(_windows(spark, sf_dir), "windows"), CASES, CONTROLS, calc_type=calc_type, **args)
+    return differential.calc_diff(sinks.stored(_windows(spark, sf_dir), "windows"), CASES, CONTROLS, calc_type=calc_type, **args)
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -172,13 +165,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coverage_hist": lambda s, d: qc.histogram(summarize.positions(good(s, d)), F.log10("num_calls"), 0.25),
     "modfrac_hist": lambda s, d: (lambda p: qc.histogram(p, qc.fraction_column(p), 10))(summarize.positions(good(s, d))),
     "diff_fast_fisher": lambda s, d: _rounded(_diff(s, d)),
-    "diff_positions": lambda s, d: _rounded(differential.calc_diff(_stored(summarize.positions(good(s, d)), "positions"), CASES, CONTROLS, calc_type="fast_fisher")),
+    "diff_positions": lambda s, d: _rounded(differential.calc_diff(sinks.stored(summarize.positions(good(s, d)), "positions"), CASES, CONTROLS, calc_type="fast_fisher")),
     "diff_r_fisher": lambda s, d: _rounded(_diff(s, d, "r_fisher")),
     "diff_wilcoxon": lambda s, d: _rounded(_diff(s, d, "wilcox")),
     "diff_log_reg": lambda s, d: _rounded(_diff(s, d, "log_reg")),
     "bh_adjust": _bh,
     "collapse_windows": lambda s, d: _rounded(_collapsed(s, d)),
-    "classify_reads": lambda s, d: differential.classify_reads(summarize.reads(good(s, d)), _stored(_collapsed(s, d), "key")),
+    "classify_reads": lambda s, d: differential.classify_reads(summarize.reads(good(s, d)), sinks.stored(_collapsed(s, d), "key")),
     "sample_corr": lambda s, d: _rounded(qc.sample_correlation(_windows(s, d), call_type="windows")),
     "sample_corr_positions": lambda s, d: _rounded(qc.sample_correlation(summarize.positions(good(s, d)), "mh_frac")),
     "volcano_raster": lambda s, d: qc.volcano_raster(_rounded(_diff(s, d))),

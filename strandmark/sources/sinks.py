@@ -34,3 +34,10 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(stage)
     paths.delete(spark, path)
     paths.rename(spark, stage, path)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written to a new folder of the shared one, and reread: for tables that a plan reads several times."""
+    path = paths.new_path(df.sparkSession, label)
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
